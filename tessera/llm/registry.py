@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from tessera.llm import quality, toxicity
 from tessera.llm.ngram_join import similar_components
 from tessera.llm.shared import table
+from tessera.llm.token_counts import length_histogram, suffix_totals
+
+
+def op2_toxicity(spark, sf_dir):
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):
     return similar_components(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark, sf_dir):
+    return suffix_totals(length_histogram(table(spark, sf_dir, "documents")))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {}
