@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, toxicity
+from tessera.llm import license_scan, quality, toxicity
 from tessera.llm.ngram_join import similar_components
 from tessera.llm.shared import table
 from tessera.llm.token_counts import length_histogram, suffix_totals
@@ -12,6 +12,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), license_scan.known_licences(spark))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return similar_components(table(spark, sf_dir, "documents"))
 
@@ -26,8 +30,11 @@ def op9_quality(spark, sf_dir):
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle_sql(),
+}
