@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import license_scan, quality, toxicity
+from tessera.llm import decontaminate, license_scan, quality, toxicity
 from tessera.llm.ngram_join import similar_components
 from tessera.llm.shared import table
 from tessera.llm.token_counts import length_histogram, suffix_totals
@@ -28,13 +28,19 @@ def op9_quality(spark, sf_dir):
     return quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scan": license_scan.oracle_sql(),
+    "op10_decontamination": decontaminate.oracle_sql(),
 }
