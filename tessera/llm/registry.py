@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, license_scan, quality, toxicity
+from tessera.llm import decontaminate, license_scan, quality, toxicity, warc
 from tessera.llm.ngram_join import similar_components
 from tessera.llm.shared import table
 from tessera.llm.token_counts import length_histogram, suffix_totals
@@ -20,6 +20,11 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return similar_components(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_counts(spark, sf_dir):
     return suffix_totals(length_histogram(table(spark, sf_dir, "documents")))
 
@@ -36,11 +41,13 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_warc": op5_warc,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scan": license_scan.oracle_sql(),
+    "op5_warc": warc.oracle_sql(),
     "op10_decontamination": decontaminate.oracle_sql(),
 }
