@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, license_scan, quality, toxicity, warc
+from tessera.llm import decontaminate, license_scan, quality, topk, toxicity, warc
 from tessera.llm.ngram_join import similar_components
 from tessera.llm.shared import table
 from tessera.llm.token_counts import length_histogram, suffix_totals
@@ -25,6 +25,11 @@ def op5_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_exact_topk(spark, sf_dir):
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_products(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
 def op8_token_counts(spark, sf_dir):
     return suffix_totals(length_histogram(table(spark, sf_dir, "documents")))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_warc": op5_warc,
+    "op6_exact_topk": op6_exact_topk,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
@@ -49,5 +55,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_license_scan": license_scan.oracle_sql(),
     "op5_warc": warc.oracle_sql(),
+    "op6_exact_topk": topk.oracle_sql(),
     "op10_decontamination": decontaminate.oracle_sql(),
 }
