@@ -423,6 +423,20 @@ def toxicity(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_score(sent), "doc_id long, score double, n_windows long, worst_word long")
 
 
+def clean_documents(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is under the threshold, with all their columns, in one pass and without a join."""
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    sent = spark.sparkContext.broadcast(pickle.dumps(net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(pickle.loads(sent.value))
+        for batch in text_blocks(batches, "text"):
+            yield batch.filter(pa.array(score_texts(reader, batch.column("text"))[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of every document by a network that has learnt from rows with crc32(doc_id) mod 4 other than 2."""
     net = fit(docs, labels, remainder("doc_id", 4) != 2)
