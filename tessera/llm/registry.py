@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, license_scan, packing, quality, topk, toxicity, warc
+from tessera.llm import decontaminate, language_model, license_scan, packing, quality, topk, toxicity, warc
 from tessera.llm.ngram_join import similar_components
 from tessera.llm.shared import table
 from tessera.llm.token_counts import length_histogram, suffix_totals
@@ -34,6 +34,10 @@ def op6_exact_topk(spark, sf_dir):
     return topk.top_products(vectors.filter("vec_id % 50 = 0"), vectors)
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return language_model.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return suffix_totals(length_histogram(table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_warc": op5_warc,
     "op6_exact_topk": op6_exact_topk,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
