@@ -4,8 +4,7 @@ Shingle sets are ordered rare first; two sets that reach the threshold share a t
 first n - ceil(t*n) + 1 tokens). Sets with equal prefixes and sizes form one group, so the inverted index holds
 a row for each group and token. Token lists of groups give group pairs under size and position filters; pairs are
 expanded to members and verified on whole sets. Lists longer than `LONG` (clusters of near-copies) are not paired:
-members are verified against one pivot a list, lists that have become one component are done, and only what
-remains outside the pivot's component is paired, where the triangle inequality of the Jaccard distance allows it.
+see _resolve_long.
 
 Hashes of 64 bits stand for shingles. Nothing is capped: the bound on frequent tokens held in memory only decides
 how well rare tokens come first, never which links are found.
@@ -13,13 +12,14 @@ how well rare tokens come first, never which links are found.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -36,6 +36,10 @@ KEPT = 500_000
 HOT = 4096
 #: Longer lists of groups go through pivots instead of pairs.
 LONG = 24
+#: Comparisons of prefixes within one list of difference tokens; longer lists get a pivot of their own.
+WORK = 50_000
+#: Rounds of pivots before what is left is paired.
+ROUNDS = 8
 #: Documents for each range of the packed exchanges.
 RANGE_DOCS = 8000
 #: Candidate ids up to this number are sent to the workers (8 bytes each); more are joined.
@@ -93,20 +97,21 @@ def _ranges(docs: DataFrame) -> int:
 
 
 def _range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
-    return ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    """Equal shares of the 48-bit tokens."""
+    return ((tokens >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _count_tokens(ranges: int, size: int):
-    """Each task's token counts, packed by token range (48 leading bits)."""
+    """Each task's counts of tokens (the leading 48 bits), packed by token range."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held) >> _SHIFT << _SHIFT, return_counts=True)
+        tokens, counts = np.unique(np.concatenate(held) >> _SHIFT, return_counts=True)
         at = np.searchsorted(_range_of(tokens, ranges), np.arange(ranges + 1))
         keys, blobs, many = [], [], []
         for r in np.flatnonzero(np.diff(at)):
             part = slice(at[r], at[r + 1])
             keys.append(r)
-            blobs.append(pack(tokens[part] >> _SHIFT))
+            blobs.append(pack(tokens[part]))
             many.append(zstandard.compress(np.minimum(counts[part], 2**31 - 1).astype("<i4").tobytes(), 1))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary()), pa.array(many, pa.binary())], ["part", "tokens", "counts"])
 
@@ -137,39 +142,52 @@ def _frequent(table: pa.Table) -> pa.Table:
     return pa.table({"token": tokens[first][keep].astype(np.int64), "n": total[keep]})
 
 
+def _counts_of(frequent, cut: np.ndarray) -> np.ndarray:
+    """Document counts of frequent tokens, 0 for others."""
+    known, counts = (np.frombuffer(x, np.int64) for x in frequent.value)
+    weight = np.zeros(len(cut), np.int64)
+    if len(known) and len(cut):
+        known = known.view(np.uint64)
+        where = np.minimum(np.searchsorted(known, cut), len(known) - 1)
+        hit = known[where] == cut
+        weight[hit] = counts[where[hit]]
+    return weight
+
+
 def _sets(frequent, percent: int, size: int):
-    """Each document's set size, 128-bit set digest and prefix in the order (frequency if frequent, hash)."""
+    """Each document's set size, 128-bit set digest and prefix in the order (frequency if frequent, hash).
+
+    The prefix is written as six bytes a token, its digest beside it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = (np.frombuffer(x, np.int64) for x in frequent.value)
-        known = known.astype(np.uint64)
         for batch in text_blocks(batches, "text"):
             tokens, at = shingles(Words(batch.column("text")), size)
             n = np.diff(at)
-            rows = len(n)
-            row = np.repeat(np.arange(rows), n)
+            row = np.repeat(np.arange(len(n)), n)
             padded = np.append(mix(tokens), np.uint64(0)), np.append(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.uint64(0))
             digest = [np.where(n > 0, np.add.reduceat(x, np.minimum(at[:-1], len(tokens))), np.uint64(0)).astype(np.uint64) for x in padded]
-            weight = np.zeros(len(tokens), np.int64)
-            if len(known) and len(tokens):
-                cut = tokens >> _SHIFT
-                where = np.minimum(np.searchsorted(known, cut), len(known) - 1)
-                hit = known[where] == cut
-                weight[hit] = counts[where[hit]]
-            order = np.lexsort((tokens, weight, row))
-            tokens, weight = tokens[order], weight[order]
+            order = np.lexsort((tokens, _counts_of(frequent, tokens >> _SHIFT), row))
+            six = np.ascontiguousarray((tokens[order] >> _SHIFT).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
             prefix = np.where(n > 0, n + percent * n // -100 + 1, 0)
-            blobs = [tokens[s : s + p].tobytes() for s, p in zip(at[:-1], prefix)]
-            hot = [(weight[s : s + p] > HOT).tobytes() for s, p in zip(at[:-1], prefix)]
+            blobs = [six[s : s + p].tobytes() for s, p in zip(at[:-1], prefix)]
+            key = [hashlib.blake2b(x, digest_size=16).digest() for x in blobs]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in digest), pa.array(blobs, pa.binary()), pa.array(hot, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "prefix", "hot"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in digest), pa.array(key, pa.binary()), pa.array(blobs, pa.binary())],
+                ["doc_id", "n", "d1", "d2", "key", "prefix"],
             )
 
     return run
 
 
-def _index(ranges: int, hot: bool):
+def _tokens_of(blobs: list[bytes]) -> np.ndarray:
+    six = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _index(ranges: int, hot: bool, frequent, wanted):
     """Postings (token, group, size, position): hot tokens as rows, the others packed by token range."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -184,13 +202,14 @@ def _index(ranges: int, hot: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(_among(wanted, batch.column("row").to_numpy())))
             blobs = batch.column("prefix").to_pylist()
-            token = np.frombuffer(b"".join(blobs), np.uint64)
-            flag = np.frombuffer(b"".join(batch.column("hot").to_pylist()), bool)
-            size = np.array([len(x) // 8 for x in blobs], np.int64)
-            wanted = flag if hot else ~flag
-            group = np.repeat(batch.column("gid").to_numpy(), size)[wanted]
-            n, pos, token = np.repeat(batch.column("n").to_numpy(), size)[wanted], long_range(size)[wanted], token[wanted]
+            token = _tokens_of(blobs)
+            size = np.array([len(x) // 6 for x in blobs], np.int64)
+            mine = (_counts_of(frequent, token) > HOT) == hot
+            group = np.repeat(batch.column("gid").to_numpy(), size)[mine]
+            n, pos, token = np.repeat(batch.column("n").to_numpy(), size)[mine], long_range(size)[mine], token[mine]
             if hot:
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(group), pa.array(n), pa.array(pos)], ["token", "gid", "n", "pos"])
             elif len(token):
@@ -205,6 +224,19 @@ def _index(ranges: int, hot: bool):
     return run
 
 
+def _among(sent, values: np.ndarray) -> np.ndarray:
+    ids = np.frombuffer(sent.value, np.int64)
+    return ids[np.minimum(np.searchsorted(ids, values), len(ids) - 1)] == values if len(ids) else np.zeros(len(values), bool)
+
+
+def _sendable(rows: DataFrame, column: str):
+    """The column's distinct values, sorted and broadcast, if they are few enough to send; else None."""
+    rows = rows.select(column).distinct()
+    if rows.count() > SENT_IDS:
+        return None
+    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.toArrow()[column].to_numpy()).astype(np.int64).tobytes())
+
+
 def _possible(na, nb, pa_, pb):
     """Size filter, and the position filter at the first common token: what can still be shared suffices."""
     most = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
@@ -237,13 +269,9 @@ def _lists(table: pa.Table, longest: int) -> pa.Table:
 
 def _whole_sets(wanted, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = None if wanted is None else np.frombuffer(wanted.value, np.int64)
         for batch in batches:
-            if ids is not None:
-                if not len(ids):
-                    continue
-                mine = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array(ids[np.minimum(np.searchsorted(ids, mine), len(ids) - 1)] == mine))
+            if wanted is not None:
+                batch = batch.filter(pa.array(_among(wanted, batch.column("doc_id").to_numpy(zero_copy_only=False))))
             for block in text_blocks(iter([batch]), "text"):
                 tokens, at = shingles(Words(block.column("text")), size)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([tokens[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], ["id", "tokens"])
@@ -260,45 +288,117 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.concatenate([np.frombuffer(a[k], np.uint64), np.frombuffer(b[k], np.uint64)])
             both.sort()
             out[k] = np.count_nonzero(both[1:] == both[:-1])
-        distance = 1 - out / np.maximum(na + nb - out, 1)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(_linked(out, na, nb)), pa.array(distance)], ["a", "b", "linked", "distance"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(_linked(out, na, nb))], ["a", "b", "linked"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with their exact Jaccard distance and whether it makes a link."""
+    """The pairs, and whether their exact Jaccard similarity makes a link."""
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_shared, "a long, b long, linked boolean, distance double")
-
-
-def _resolve_long(long_: DataFrame, sets: DataFrame, links: DataFrame, pivots: int) -> list[DataFrame]:
-    """Links within long lists (token, id, n): rounds of pivots, then the pairs that no pivot has settled."""
-    found = [links]
-    for k in range(pivots):
-        chosen = long_.groupBy("token").agg(F.min_by("id", F.struct(F.xxhash64("id", F.lit(k)), "id")).alias("pivot"))
-        spokes = long_.join(chosen, "token").filter("id != pivot")
-        pairs = spokes.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        seen = written(_verify(pairs, sets), "spokes")
-        found.append(seen.filter("linked").select("a", "b"))
-        labels = components(_union(found))
-        named = long_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        lists = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        away = seen.withColumn("pair", F.struct("a", "b")).select("pair", "distance")
-        named = named.join(lists.select("token"), "token", "left_semi").join(chosen, "token")
-        named = named.withColumn("pair", F.struct(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
-        named = named.join(away, "pair", "left").withColumn("away", F.coalesce("distance", F.lit(0.0))).drop("pair", "distance")
-        open_ = written(named, "long")
-        if open_.isEmpty():
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_shared, "a long, b long, linked boolean")
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Symmetric difference of each member with its pivot's set, and the sizes of both."""
+    for batch in batches:
+        mine, theirs = batch.column("tokens").to_pylist(), batch.column("of_pivot").to_pylist()
+        out, rest = [], []
+        for a, b in zip(mine, theirs):
+            both = np.concatenate([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)])
+            both.sort()
+            twice = both[1:] == both[:-1]
+            alone = np.ones(len(both), bool)
+            alone[1:] &= ~twice
+            alone[:-1] &= ~twice
+            out.append(both[alone])
+            rest.append((len(a) // 8, len(b) // 8))
+        n, p = (np.array(x, np.int64) for x in zip(*rest)) if rest else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("id"), pa.array(n), pa.array(p), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["pivot", "id", "n", "np", "size", "tokens"])
+
+
+_DIFFERENCES = "pivot long, id long, n long, np long, size long, tokens array<long>"
+
+
+def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, token) of every token of every member."""
+    for batch in batches:
+        blobs = batch.column("tokens").to_pylist()
+        n = np.array([len(x) // 8 for x in blobs], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("pivot").to_numpy(), n)), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["pivot", "token"])
+
+
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), pa.array([np.sort(np.array(x, np.int64).view(np.uint64)).tobytes() for x in batch.column("tokens").to_pylist()], pa.binary())], ["pivot", "of_pivot"])
+
+
+def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) -> list[DataFrame]:
+    """Links that connect all that is linked within long lists (list, id), without pairing their members.
+
+    With D(s) the symmetric difference of s and some fixed set C, and k = (100 - P) / (100 + P), s and x are linked
+    exactly if |D(s) ^ D(x)| <= k (ns + nx). With u = |D| - k n this needs (u(s) + u(x)) / 2 common tokens of D(s) and
+    D(x). Pairs with u(s) + u(x) <= 0 are linked whatever they share, and each of both is so linked with the member
+    of least u: a star of links stands for all of those. Every other link has a stray (u + least u > 0) at one end and
+    shares tokens of the differences, so rare-first prefixes of the differences must meet.
+
+    C is the consensus of a list: the tokens in most of its members near a pivot, a member drawn by hash. Lists with
+    one pivot count as one. Members far from the pivot go on with another, together with those between (outer), which
+    may be linked with them; so do difference tokens whose own lists are long. After `rounds` what is left is paired.
+    """
+    P, found = PERCENT, []
+    unit = (100 - P) / (100 + P)
+    for k in range(rounds):
+        draw = [F.xxhash64("id", F.lit(k)), F.col("id")]
+        chosen = long_.groupBy("list").agg(F.min_by("id", F.struct(*([~F.col("far")] if "far" in long_.columns else []), *draw)).alias("pivot"))
+        spokes = long_.select("list", "id").join(chosen, "list")
+        of_pivot = sets.select(F.col("id").alias("pivot"), F.col("tokens").alias("of_pivot"))
+        members = spokes.select("pivot", "id").distinct().join(sets, "id")
+        rows = members.join(of_pivot, "pivot").select("pivot", "id", "tokens", "of_pivot").mapInArrow(_differences, _DIFFERENCES).drop("tokens")
+        reach = unit * (F.col("n") + F.col("np"))
+        rows = written(rows.withColumn("far", F.col("size") > 3.6 * reach).withColumn("outer", F.col("size") > 2.0 * reach), "distances")
+        near = written(members.join(rows.filter("NOT far").select("pivot", "id"), ["pivot", "id"]), "near")
+        votes = near.mapInArrow(_as_rows, "pivot long, token long").groupBy("pivot", "token").agg(F.count("*").alias("votes"))
+        sizes = near.groupBy("pivot").agg(F.count("*").alias("many"))
+        consensus = votes.join(sizes, "pivot").filter("2 * votes > many").groupBy("pivot").agg(F.collect_list("token").alias("tokens"))
+        consensus = sizes.join(consensus, "pivot", "left").select("pivot", F.coalesce("tokens", F.array().cast("array<long>")).alias("tokens"))
+        consensus = written(consensus.mapInArrow(_as_bytes, "pivot long, of_pivot binary"), "consensus")
+        diff = near.join(consensus, "pivot").select("pivot", "id", "tokens", "of_pivot").mapInArrow(_differences, _DIFFERENCES)
+        # 180 u: whole numbers.
+        diff = written(diff.withColumn("u", (100 + P) * F.col("size") - (100 - P) * F.col("n")).drop("np"), "differences")
+        least = diff.groupBy("pivot").agg(F.min(F.struct("u", "id")).alias("x")).select("pivot", F.col("x.u").alias("low"), F.col("x.id").alias("hub"))
+        diff = diff.join(least, "pivot").withColumn("stray", F.col("u") + F.col("low") > 0)
+        found.append(written(diff.filter("NOT stray AND id != hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")), "hubs"))
+        strays = diff.filter("stray").select("pivot").distinct()
+        whole = 2 * (100 + P)
+        as_stray = F.greatest(F.lit(1), F.ceil((F.col("u") + F.col("low")) / whole - 1e-9))
+        as_partner = F.greatest(F.lit(1), F.floor((F.col("u") - F.col("low")) / whole + 1e-9).cast("long") + 1)
+        index = diff.join(strays, "pivot", "left_semi").withColumn("long", F.when(F.col("stray"), as_stray).otherwise(as_partner)).withColumn("short", F.greatest("long", as_partner))
+        index = index.select("pivot", "id", "n", "u", "size", "stray", "long", "short", F.explode("tokens").alias("token"))
+        common = index.groupBy("pivot", "token").agg(F.count("*").alias("df")).filter("df > 1")
+        order = Window.partitionBy("pivot", "id").orderBy("df", "token")
+        index = index.join(common, ["pivot", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+        index = index.withColumn("pos", F.row_number().over(order) - 1).filter("df > 1 AND pos <= size - long")
+        index = index.withColumn("short", F.col("pos") <= F.col("size") - F.col("short"))
+        index = written(index.drop("long", "df"), "index")
+        load = index.groupBy("pivot", "token").agg(F.count_if("stray").alias("s"), F.count_if(~F.col("stray")).alias("x"), F.count_if(F.col("stray") & F.col("short")).alias("h"))
+        load = written(load.withColumn("work", F.col("s") * F.col("x") + F.col("h") * F.col("h")).filter("s > 0 AND (x > 0 OR h > 1)"), "load")
+        few = index.join(load.filter(F.col("work") <= work).select("pivot", "token"), ["pivot", "token"], "left_semi")
+        left = few.filter("stray").select("pivot", "token", F.col("id").alias("s"), F.col("n").alias("sn"), F.col("u").alias("su"), F.col("size").alias("ss"), F.col("pos").alias("sp"), F.col("short").alias("sh"))
+        right = few.select("pivot", "token", "id", "n", "u", "size", "pos", "stray", "short")
+        most = F.least(F.col("ss") - F.col("sp"), F.col("size") - F.col("pos"))
+        fits = (F.col("su") + F.col("u") <= whole * most) & (100 * F.least("n", "sn") >= P * F.greatest("n", "sn"))
+        meet = (~F.col("stray") | (F.col("short") & F.col("sh") & (F.col("id") > F.col("s")))) & fits
+        pairs = left.join(right, ["pivot", "token"]).filter(meet).select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b")).distinct()
+        found.append(written(_verify(pairs, sets).filter("linked").select("a", "b"), "strays"))
+        crowded = index.join(load.filter(F.col("work") > work).select("pivot", "token"), ["pivot", "token"], "left_semi")
+        crowded = crowded.select(F.xxhash64("pivot", "token", F.lit(k)).alias("list"), "id", F.lit(False).alias("far"))
+        away = spokes.join(rows.filter("far OR outer").select("pivot", "id", "far"), ["pivot", "id"]).select("list", "id", "far")
+        away = away.join(away.filter("far").select("list").distinct(), "list", "left_semi").withColumn("list", F.xxhash64("list", F.lit(k)))
+        long_ = written(away.union(crowded).distinct(), "long")
+        if long_.isEmpty():
             return found
-        long_ = open_.select("token", "id", "n")
-    # Who is outside the largest part of a list meets everyone it might be linked with.
-    sizes = open_.groupBy("token", "component").agg(F.count("*").alias("many"))
-    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
-    rows = open_.join(main, "token")
-    stray = rows.filter("component != main").select("token", F.col("id").alias("s"), F.col("n").alias("sn"), F.col("away").alias("sa"), F.col("component").alias("sc"))
-    near = (F.abs(F.col("away") - F.col("sa")) <= (100 - PERCENT) / 100 + 1e-9) & (100 * F.least("n", "sn") >= PERCENT * F.greatest("n", "sn"))
-    pairs = rows.join(stray, "token").filter(near & (F.col("component") != F.col("sc")) & (F.col("id") != F.col("s")))
-    pairs = pairs.select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b")).distinct()
+    mine = long_.select("list", F.col("id").alias("a"))
+    pairs = mine.join(long_.select("list", F.col("id").alias("b")), "list").filter("a < b").select("a", "b").distinct()
     found.append(written(_verify(pairs, sets).filter("linked").select("a", "b"), "strays"))
     return found
 
@@ -310,7 +410,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, pivots: int = 2, longest: int = LONG) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, rounds: int = ROUNDS, longest: int = LONG, work: int = WORK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     component_id is the smallest id reachable through links, the row's own if it has none. Null and blank texts have
@@ -326,39 +426,43 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = frequent.orderBy(F.desc("n"), "token").limit(KEPT).toArrow()
     order = np.argsort(kept["token"].to_numpy())
     sent = spark.sparkContext.broadcast(tuple(kept[c].to_numpy().astype(np.int64)[order].tobytes() for c in ("token", "n")))
-    every = written(docs.mapInArrow(_sets(sent, PERCENT, size), "doc_id long, n long, d1 long, d2 long, prefix binary, hot binary"), "sets")
+    every = written(docs.mapInArrow(_sets(sent, PERCENT, size), "doc_id long, n long, d1 long, d2 long, key binary, prefix binary"), "sets")
 
     some = every.filter("n > 0 AND doc_id IS NOT NULL")
-    texts = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix"), F.min("hot").alias("hot"))
-    texts = written(texts.withColumn("key", F.struct("n", F.sha1("prefix"))), "texts")
-    groups = written(texts.groupBy("key").agg(F.min("rep").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("hot").alias("hot"), F.count("*").alias("members")), "groups")
-    named = texts.join(groups.select("key", "gid", "members"), "key").select("rep", "gid", "n", "members")
-    crowded = written(named.filter("members > 1").select("rep", "gid"), "members")
-
-    packed = groups.select("gid", "n", "prefix", "hot").mapInArrow(_index(ranges, False), "part long, token binary, gid binary, n binary, pos binary")
+    texts = written(some.groupBy("d1", "d2", "n", "key").agg(F.min("doc_id").alias("rep")), "texts")
+    groups = texts.groupBy("key", "n").agg(F.min(F.struct("rep", "d1", "d2")).alias("x"), F.count("*").alias("members"))
+    groups = written(groups.select("key", "n", F.col("x.rep").alias("gid"), F.xxhash64("x.rep", "x.d1", "x.d2").alias("row"), "members"), "groups")
+    crowded = groups.filter("members > 1").select("key", "n", "gid").join(texts, ["key", "n"]).select("rep", "gid")
+    crowded = written(crowded, "members")
+
+    # Only a group's first text is indexed; its row is found by hash, so prefixes need no exchange while ids can be sent.
+    rows = some.select("n", "prefix", F.col("doc_id").alias("gid"), F.xxhash64("doc_id", "d1", "d2").alias("row"))
+    wanted = _sendable(groups, "row")
+    if wanted is None:
+        rows = rows.join(groups.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    packed = rows.mapInArrow(_index(ranges, False, sent, wanted), "part long, token binary, gid binary, n binary, pos binary")
     lists = written(packed.groupBy("part").applyInArrow(lambda part: _lists(part, longest), "a long, b long, token long, n long, pos long"), "lists")
-    hot = groups.select("gid", "n", "prefix", "hot").mapInArrow(_index(ranges, True), "token long, gid long, n long, pos long")
-    rows = hot.select("token", "gid", "n").union(lists.filter("b IS NULL").select("token", F.col("a").alias("gid"), "n"))
+    hot = rows.mapInArrow(_index(ranges, True, sent, wanted), "token long, gid long, n long, pos long")
+    rows = hot.select("token", "gid").union(lists.filter("b IS NULL").select("token", F.col("a").alias("gid")))
     # Groups of several texts: those that a packed list can hold are paired within, the others are lists themselves.
     small = groups.filter(F.col("members").between(2, longest)).select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    large = groups.filter(F.col("members") > longest).select(F.xxhash64("gid").alias("token"), "gid", "n")
+    large = groups.filter(F.col("members") > longest).select(F.xxhash64("gid").alias("token"), "gid")
     expand = lambda df, gid, rep: df.join(crowded.select(F.col("gid").alias(gid), F.col("rep").alias(rep)), gid, "left").withColumn(rep, F.coalesce(rep, gid))
     pairs = lists.filter("b IS NOT NULL").select("a", "b").union(small).distinct()
     pairs = expand(expand(pairs, "a", "ra"), "b", "rb").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     pairs = written(pairs.distinct(), "pairs")
-    long_ = written(expand(rows.union(large), "gid", "rep").select("token", F.col("rep").alias("id"), "n").distinct(), "long")
+    long_ = written(expand(rows.union(large), "gid", "rep").select(F.col("token").alias("list"), F.col("rep").alias("id")).distinct(), "long")
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long_.select("id")).distinct()
-    ids = written(ids, "ids")
-    if ids.count() <= SENT_IDS:
-        wanted = spark.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy()).astype(np.int64).tobytes())
-        sets = docs.mapInArrow(_whole_sets(wanted, size), "id long, tokens binary")
-    else:
-        sets = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_whole_sets(None, size), "id long, tokens binary")
+    ids = written(ids.withColumnRenamed("id", "doc_id"), "ids")
+    wanted, chosen = _sendable(ids, "doc_id"), docs.filter("doc_id IS NOT NULL")
+    if wanted is None:
+        chosen = chosen.join(ids, "doc_id", "left_semi")
+    sets = chosen.mapInArrow(_whole_sets(wanted, size), "id long, tokens binary")
     sets = written(sets.dropDuplicates(["id"]), "whole")
     found = [written(_verify(pairs, sets).filter("linked").select("a", "b"), "links")]
     if not long_.isEmpty():
-        found = _resolve_long(long_, sets, found[0], pivots)
+        found += _resolve_long(long_, sets, rounds, work)
     labels = components(_union(found))
     final = texts.select("d1", "d2", "n", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = every.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2", "n"], "left")
