@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import q6
+from tessera.plans import joins, partitions, q6
 
-QUERIES = {**q6.QUERIES}
-ORACLES = {**q6.ORACLES}
+QUERIES = {**q6.QUERIES, **joins.QUERIES, **partitions.QUERIES}
+ORACLES = {**q6.ORACLES, **joins.ORACLES, **partitions.ORACLES}
