@@ -182,7 +182,7 @@ ORACLES = {
     "copy_with_payload": f"SELECT CAST(key & 15 AS INTEGER) AS partition_id, count(*) AS cnt FROM ({_REL}) GROUP BY 1",
     "chunked_histogram": f"WITH {_GRID} SELECT * FROM h",
     "chunked_offsets_padded": f"WITH {_GRID} SELECT *, CAST(chunk_id * ({_SIZED} + {PAD * 16}) + {PAD} * (partition_id + 1) + {_BEFORE} AS BIGINT) AS \"offset\" FROM h",
-    "contiguous_offsets_padded": f"WITH {_GRID} SELECT *, (SELECT CAST(sum(cnt) AS BIGINT) FROM h h2 WHERE h2.partition_id = x.partition_id) AS total FROM ({_CONT}) x",
+    "contiguous_offsets_padded": f"WITH {_GRID} {_CONT}",
     "chunk_local_offsets": f"WITH {_GRID} SELECT *, CAST({_BEFORE} AS BIGINT) AS local_offset FROM h",
     "partition_len_max": f"SELECT max(n) AS max_len, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM ({_REL}) GROUP BY key & 15)",
     "scatter_slots": f"WITH {_GRID}, o AS ({_CONT}) SELECT pos, CAST(\"offset\" + row_number() OVER (PARTITION BY chunk_id, partition_id ORDER BY pos) - 1 AS BIGINT) AS slot FROM ch JOIN o USING (chunk_id, partition_id)",
