@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import Words, arrow_limits, long_range, mix, text_blocks, written
+from tessera.llm.shared import Words, arrow_limits, long_range, mix, release, text_blocks, written
 
 WORDS = 5
 #: A link is 100 * intersection >= PERCENT * union.
@@ -122,11 +122,13 @@ def _count_tokens(ranges: int, size: int):
             if len(found):
                 held.append(found)
                 n += len(found)
-            if n > 6_000_000:
+            if n > 3_000_000:
                 yield flush(held)
                 held, n = [], 0
         if held:
             yield flush(held)
+            held.clear()
+        release()
 
     return run
 
@@ -139,6 +141,7 @@ def _frequent(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     total = np.add.reduceat(counts, first)
     keep = total >= FREQUENT
+    release()
     return pa.table({"token": tokens[first][keep].astype(np.int64), "n": total[keep]})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -52,6 +53,15 @@ def arrow_limits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
+def release() -> None:
+    """Give freed memory back to the system: a reused worker process would keep a task's peak otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library keeps what it keeps
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes of text each; a longer text stands alone."""
     for batch in batches:
@@ -64,6 +74,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLO
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    release()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
