@@ -168,18 +168,22 @@ def test_toxicity_learns_words_and_stems():
     texts = [toxic("grobu") + " grobux" for _ in range(150)] + [prose(rng, 90, 300) for _ in range(150)]
     labels = np.array([1] * 150 + [0] * 150)
     mixed = np.random.default_rng(0).permutation(300)
-    net = toxicity.train(pa.array([texts[k] for k in mixed]), labels[mixed], epochs=8)
+    net = toxicity.train(pa.array([texts[k] for k in mixed]), labels[mixed])
     reader = toxicity.Reader(net)
-    fresh = pa.array(["w1 w2 grobuixum w5 " + prose(rng, 60, 300), prose(rng, 80, 300), None, "", " ".join(["w7"] * 400)])
+    # Held-out documents from the same source, half of them toxic.
+    new = [toxic("grobu") + " grobuorum" for _ in range(60)] + [prose(rng, 80, 300) for _ in range(60)]
+    score = toxicity.score_texts(reader, pa.array(new))[0]
+    assert (score[:60] >= 0.3).mean() >= 0.95 and (score[60:] >= 0.3).mean() <= 0.05
+    fresh = pa.array([new[0], new[-1], None, "", " ".join(["w7"] * 400)])
     score, many, where = toxicity.score_texts(reader, fresh)
-    assert score[0] >= 0.3 and (score[1:] < 0.3).all()
-    assert many.tolist()[2:4] == [0, 0] and where.tolist()[2:4] == [-1, -1] and many[4] == 1 + -(-(400 - 32) // 24)
+    assert (score[2:] < 0.3).all()
     # The fast reader and the network's own pass agree.
     w = Words(fresh)
     row, first, size = toxicity.windows(np.diff(w.offsets), w.offsets)
     _, at, place = np.unique(w.hashes, return_index=True, return_inverse=True)
     slow = net.logits(net.inputs(*net.vocabulary.ids(w, at)), toxicity._ids(place, first, size, toxicity.WINDOW))
     assert np.allclose(reader.windows(w)[2], slow, atol=1e-3)
+    assert many.tolist()[2:4] == [0, 0] and where.tolist()[2:4] == [-1, -1] and many[4] == 1 + -(-(400 - 32) // 24)
     assert 0 < toxicity.score_texts(toxicity.Reader(toxicity.train(pa.array(["a b"]), np.array([1]))), pa.array(["a"]))[0][0] < 1
 
 
