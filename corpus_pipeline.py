@@ -23,7 +23,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component; of repeated ids one row stays."""
+    """The document with the smallest id of each near-duplicate component; of repeated rows (id and text) one stays."""
     found = similar_components(docs)
     dropped = found.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
@@ -31,7 +31,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeated.isEmpty():
         return kept.select(docs.columns)
     once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return once.union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return once.union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
