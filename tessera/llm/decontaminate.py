@@ -75,24 +75,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Leaked pairs: doc_id, item_id, covered (item words under consistent matches), item_words, slots, changed.
 
     slots counts aligned placeholders and changed those with another value, so changed > 0 is a re-parameterised
-    question. Of items with one template the smallest item_id stands for all. Texts or items of fewer than WINDOW words
+    question. Each item of a template is held against the document by its own values; of items with the same words the
+    smallest item_id stands for all. Texts or items of fewer than WINDOW words
     (null, empty) take no part; repeated doc_ids count together and null ones are left out. Columns other than the ids
     and texts are not read. An empty table on either side gives no rows.
     """
-    items = _words(benchmark.filter("item_id IS NOT NULL"), "item_id", "text")
-    items = items.withColumn("template", F.array_join(F.transform("words", _template), " "))
-    items = items.groupBy("template").agg(F.min_by(F.struct("item_id", "words"), F.struct("item_id", "words")).alias("x")).select("x.*")
-    plain = items.select("item_id", F.posexplode(_literal()).alias("at", "plain")).filter(F.col("plain") >= LITERAL).drop("plain")
-    known = _windows(items, "item_id", "at").join(plain, ["item_id", "at"])
+    items = _words(benchmark.filter("item_id IS NOT NULL"), "item_id", "text").groupBy("words").agg(F.min("item_id").alias("item_id"))
+    # Windows are met once for a template; slots are held against the values of each of its items.
+    items = items.withColumn("template", F.xxhash64(F.transform("words", _template)))
+    plans = items.groupBy("template").agg(F.min_by("words", "item_id").alias("words"))
+    plain = plans.select("template", F.posexplode(_literal()).alias("at", "plain")).filter(F.col("plain") >= LITERAL).drop("plain")
+    known = _windows(plans, "template", "at").join(plain, ["template", "at"])
     few = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     texts = _words(docs.filter("doc_id IS NOT NULL"), "doc_id", "text")
     met = _windows(texts, "doc_id", "pos").join(F.broadcast(known) if few else known, "key")
-    met = met.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
+    met = met.select("doc_id", "template", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
 
     # Words of the item that an alignment covers: each window adds those up to the next one's start.
-    following = F.lead("at").over(Window.partitionBy("doc_id", "item_id", "shift").orderBy("at"))
+    following = F.lead("at").over(Window.partitionBy("doc_id", "template", "shift").orderBy("at"))
     step = F.least(F.lit(WINDOW), F.coalesce(following - F.col("at"), F.lit(WINDOW)))
-    runs = met.withColumn("step", step).groupBy("doc_id", "item_id", "shift").agg(F.sum("step").alias("covered"), F.min("at").alias("first"), (F.max("at") + WINDOW).alias("last"))
+    runs = met.withColumn("step", step).groupBy("doc_id", "template", "shift").agg(F.sum("step").alias("covered"), F.min("at").alias("first"), (F.max("at") + WINDOW).alias("last"))
+    members = items.select("template", "item_id")
+    runs = runs.join(F.broadcast(members) if few else members, "template")
 
     asked = _slots(items, "item_id", "at", "asked")
     if asked.isEmpty():

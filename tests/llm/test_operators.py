@@ -373,6 +373,14 @@ def test_decontamination_finds_changed_slots(spark):
     assert decontaminate.decontaminate(frame.union(frame), bench).count() == 2 * (len(texts) - 2)
 
 
+def test_decontamination_holds_each_item_of_a_template(spark):
+    item = "the shop on the corner sold 5 red apples and then 5 green pears to the old man who came along"
+    other = item.replace("5 green", "6 green")
+    bench = spark.createDataFrame([(3, item), (7, other), (9, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.changed) for r in decontaminate.leaks(docs(spark, [item, other]), bench).collect()}
+    assert {(0, 3, 0), (1, 7, 0)} <= got and (1, 3) not in {x[:2] for x in got}
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline
