@@ -72,7 +72,7 @@ def _literal(words: str = "words") -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Leaked pairs: doc_id, item_id, covered (item words under consistent matches), item_words, slots, changed.
+    """Leaked pairs: doc_id, item_id, covered (places of the item under consistent matches, each once), item_words, slots, changed.
 
     slots counts aligned placeholders and changed those with another value, so changed > 0 is a re-parameterised
     question. Each item of a template is held against the document by its own values; of items with the same words the
@@ -91,10 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = _windows(texts, "doc_id", "pos").join(F.broadcast(known) if few else known, "key")
     met = met.select("doc_id", "template", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
 
-    # Words of the item that an alignment covers: each window adds those up to the next one's start.
-    following = F.lead("at").over(Window.partitionBy("doc_id", "template", "shift").orderBy("at"))
-    step = F.least(F.lit(WINDOW), F.coalesce(following - F.col("at"), F.lit(WINDOW)))
-    runs = met.withColumn("step", step).groupBy("doc_id", "template", "shift").agg(F.sum("step").alias("covered"), F.min("at").alias("first"), (F.max("at") + WINDOW).alias("last"))
+    runs = met.groupBy("doc_id", "template", "shift").agg(F.min("at").alias("first"), (F.max("at") + WINDOW).alias("last"))
     members = items.select("template", "item_id")
     runs = runs.join(F.broadcast(members) if few else members, "template")
 
@@ -112,8 +109,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         runs = runs.join(fit, ["doc_id", "item_id", "shift"], "left").filter("slots IS NULL OR (left AND even)")
         runs = runs.withColumn("slots", F.coalesce("slots", F.lit(0))).withColumn("changed", F.coalesce("changed", F.lit(0)))
     whole = items.select("item_id", F.size("words").cast("long").alias("item_words"))
-    found = runs.groupBy("doc_id", "item_id").agg(F.sum("covered").alias("covered"), F.sum("slots").alias("slots"), F.sum("changed").alias("changed"))
-    found = found.join(F.broadcast(whole) if few else whole, "item_id").withColumn("covered", F.least("covered", "item_words"))
+    found = runs.groupBy("doc_id", "item_id").agg(F.sum("slots").alias("slots"), F.sum("changed").alias("changed"))
+
+    # Words of the item under the windows of all its alignments: each window adds those up to the next one's start.
+    places = met.join(runs.select("doc_id", "template", "shift", "item_id"), ["doc_id", "template", "shift"]).select("doc_id", "item_id", "at").distinct()
+    following = F.lead("at").over(Window.partitionBy("doc_id", "item_id").orderBy("at"))
+    step = F.least(F.lit(WINDOW), F.coalesce(following - F.col("at"), F.lit(WINDOW)))
+    covered = places.withColumn("step", step).groupBy("doc_id", "item_id").agg(F.sum("step").cast("long").alias("covered"))
+    found = found.join(covered, ["doc_id", "item_id"]).join(F.broadcast(whole) if few else whole, "item_id")
     leaked = (F.col("covered") >= COVERED) | (F.col("covered") >= SHARE * F.col("item_words"))
     return found.filter(leaked).select("doc_id", "item_id", "covered", "item_words", "slots", "changed")
 

@@ -381,6 +381,16 @@ def test_decontamination_holds_each_item_of_a_template(spark):
     assert {(0, 3, 0), (1, 7, 0)} <= got and (1, 3) not in {x[:2] for x in got}
 
 
+def test_decontamination_counts_each_place_of_an_item_once(spark):
+    item = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(32))
+    words = item.split()
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    one, halves = " ".join(words[:8]), " ".join([*words[8:16], "between", *words[20:28]])
+    frame = docs(spark, [" so ".join([one] * 5), halves, " ".join(words[2:14]) + " and " + " ".join(words[6:18])])
+    got = {(r.doc_id, r.item_id, r.covered) for r in decontaminate.leaks(frame, bench).collect()}
+    assert got == {(1, 1, 16), (2, 1, 16)}
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline
