@@ -1,9 +1,9 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
 Texts are folded to words; windows of WINDOW template words are joined by hash with the benchmark's. Matches on one
-diagonal (place in the document minus place in the item) are one alignment; its slots must map item values to
-document values one to one, so a question with other numbers or names is caught, but not a chance meeting of
-templates. Only DataFrame functions take part.
+diagonal (place in the document minus place in the item) are one alignment; in it each item value must stand for itself
+or go to one document value, so a question with other numbers or names is caught, but not a chance meeting of
+templates. Windows around a slot that doesn't fit are left out. Only DataFrame functions take part.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = _windows(texts, "doc_id", "pos").join(F.broadcast(known) if few else known, "key")
     met = met.select("doc_id", "template", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
 
-    runs = met.groupBy("doc_id", "template", "shift").agg(F.min("at").alias("first"), (F.max("at") + WINDOW).alias("last"))
+    runs = met.groupBy("doc_id", "template", "shift").agg(F.collect_set("at").alias("ats"))
     members = items.select("template", "item_id")
     runs = runs.join(F.broadcast(members) if few else members, "template")
 
@@ -99,20 +99,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if asked.isEmpty():
         runs = runs.withColumn("slots", F.lit(0).cast("long")).withColumn("changed", F.lit(0).cast("long"))
     else:
-        open_ = runs.join(F.broadcast(asked) if few else asked, "item_id").filter("at >= first AND at < last")
-        open_ = open_.select("doc_id", "item_id", "shift", (F.col("at") + F.col("shift")).alias("pos"), "asked")
-        said = open_.join(_slots(texts, "doc_id", "pos", "said"), ["doc_id", "pos"])
-        pairs = said.filter(F.substring("asked", 1, 2) == F.substring("said", 1, 2)).groupBy("doc_id", "item_id", "shift", "asked", "said").agg(F.count("*").alias("n"))
-        changed = F.coalesce(F.sum(F.when(F.col("asked") != F.col("said"), F.col("n"))), F.lit(0))
-        fit = pairs.groupBy("doc_id", "item_id", "shift").agg(
-            F.sum("n").alias("slots"), changed.alias("changed"), (F.count("*") == F.greatest(F.count_distinct("asked"), F.count_distinct("said"))).alias("left"), (F.count_distinct("asked") == F.count_distinct("said")).alias("even"))
-        runs = runs.join(fit, ["doc_id", "item_id", "shift"], "left").filter("slots IS NULL OR (left AND even)")
+        keys = ["doc_id", "item_id", "shift"]
+        open_ = runs.join(F.broadcast(asked) if few else asked, "item_id").filter(F.col("at") >= F.array_min("ats")).filter(F.col("at") < F.array_max("ats") + WINDOW)
+        inside = F.exists("ats", lambda a: (F.col("at") >= a) & (F.col("at") < a + WINDOW))
+        open_ = open_.select(*keys, (F.col("at") + F.col("shift")).alias("pos"), "at", "asked", inside.alias("inside"))
+        said = open_.join(_slots(texts, "doc_id", "pos", "said"), ["doc_id", "pos"]).filter(F.substring("asked", 1, 2) == F.substring("said", 1, 2))
+        pairs = said.groupBy(*keys, "asked", "said").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("inside"), F.col("at"))).alias("places"))
+        # A value that several others stand for goes with the most frequent one, if one is; the item's own value fits anyhow.
+        most = F.array_max(F.transform("ways", lambda w: F.size(w.places)))
+        clear = F.size(F.filter("ways", lambda w: F.size(w.places) == F.col("most"))) == 1
+        odd = F.filter("ways", lambda w: (w.said != F.col("asked")) & ~((F.size(w.places) == F.col("most")) & F.col("clear")))
+        ways = pairs.groupBy(*keys, "asked").agg(F.collect_list(F.struct("said", "n", "places")).alias("ways")).withColumn("most", most).withColumn("clear", clear)
+        changed = F.aggregate("ways", F.lit(0).cast("long"), lambda n, w: n + F.when(w.said != F.col("asked"), w.n).otherwise(0))
+        ways = ways.select(*keys, F.aggregate("ways", F.lit(0).cast("long"), lambda n, w: n + w.n).alias("slots"), changed.alias("changed"), F.flatten(F.transform(odd, lambda w: w.places)).alias("odd"))
+        fit = ways.groupBy(*keys).agg(F.sum("slots").alias("slots"), F.sum("changed").alias("changed"), F.flatten(F.collect_list("odd")).alias("odd"))
+        runs = runs.join(fit, keys, "left")
+        runs = runs.withColumn("ats", F.when(F.col("odd").isNull(), F.col("ats")).otherwise(F.filter("ats", lambda a: ~F.exists("odd", lambda o: (o >= a) & (o < a + WINDOW))))).filter(F.size("ats") > 0)
         runs = runs.withColumn("slots", F.coalesce("slots", F.lit(0))).withColumn("changed", F.coalesce("changed", F.lit(0)))
     whole = items.select("item_id", F.size("words").cast("long").alias("item_words"))
     found = runs.groupBy("doc_id", "item_id").agg(F.sum("slots").alias("slots"), F.sum("changed").alias("changed"))
 
     # Words of the item under the windows of all its alignments: each window adds those up to the next one's start.
-    places = met.join(runs.select("doc_id", "template", "shift", "item_id"), ["doc_id", "template", "shift"]).select("doc_id", "item_id", "at").distinct()
+    places = runs.select("doc_id", "item_id", F.explode("ats").alias("at")).distinct()
     following = F.lead("at").over(Window.partitionBy("doc_id", "item_id").orderBy("at"))
     step = F.least(F.lit(WINDOW), F.coalesce(following - F.col("at"), F.lit(WINDOW)))
     covered = places.withColumn("step", step).groupBy("doc_id", "item_id").agg(F.sum("step").cast("long").alias("covered"))

@@ -378,7 +378,7 @@ def test_decontamination_holds_each_item_of_a_template(spark):
     other = item.replace("5 green", "6 green")
     bench = spark.createDataFrame([(3, item), (7, other), (9, other)], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.changed) for r in decontaminate.leaks(docs(spark, [item, other]), bench).collect()}
-    assert {(0, 3, 0), (1, 7, 0)} <= got and (1, 3) not in {x[:2] for x in got}
+    assert {(0, 3, 0), (1, 7, 0)} <= got
 
 
 def test_decontamination_counts_each_place_of_an_item_once(spark):
@@ -391,6 +391,15 @@ def test_decontamination_counts_each_place_of_an_item_once(spark):
     assert got == {(1, 1, 16), (2, 1, 16)}
 
 
+def test_decontamination_leaves_out_only_windows_around_odd_slots(spark):
+    item = "the shop sold 5 red apples in the morning and then 6 green pears at noon before the owner went home and counted all that was left of the 5 red apples on the long shelf by the door"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    edited, merged = item.replace("the 5 red", "the 7 red"), item.replace("5", "9").replace("6", "9")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(spark, [edited, merged]), bench).collect()}
+    assert set(got) == {(0, 1), (1, 1)}
+    assert got[1, 1].covered == got[1, 1].item_words > got[0, 1].covered and got[0, 1].changed == 1
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline
