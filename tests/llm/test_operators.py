@@ -330,6 +330,15 @@ def test_language_model(spark, head):
     assert language_model.log_probabilities(frame, frame.limit(0)).count() == len(rows)
 
 
+@needs_vocabulary
+def test_language_model_scores_do_not_depend_on_the_head(spark):
+    rng = random.Random(4)
+    frame = docs(spark, [prose(rng, 120, 60) for _ in range(20)] + EDGE + ["rare words once", "rare words once", "x" * 3000])
+    frame = frame.union(frame.filter("doc_id = 3"))
+    full, short = ({r.doc_id: r.score for r in language_model.log_probabilities(frame, frame, head_words=head).collect()} for head in (100_000, 3))
+    assert full.keys() == short.keys() and all(math.isclose(full[k], short[k], rel_tol=1e-9) for k in full)
+
+
 @needs_vocabulary
 def test_language_model_is_a_distribution():
     rng = random.Random(5)
