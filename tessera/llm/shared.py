@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -22,27 +23,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder all machines share, from spark.checkpoint.dir; a folder of our own only where that is unset and all is one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
 
 
+_made: list[str] = []
+
+
+def _located(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder; it goes when the session's JVM ends."""
+    """A fresh path in the shared folder; it goes when the session's JVM ends, or with the `passing` block it is made in."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    store, where = _located(spark, path)
+    store.deleteOnExit(where)
+    _made.append(path)
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def passing(spark: SparkSession):
+    """Scratch tables made inside the block are deleted at its end: what is read later must be written elsewhere by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            store, where = _located(spark, path)
+            store.delete(where, True)
+        del _made[before:]
+
+
+def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there and lost executors cost no rework."""
     spark = df.sparkSession
-    path = scratch(spark, tag)
+    path = path or scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import arrow_limits, text_blocks
+from tessera.llm.shared import arrow_limits, text_blocks, written
 
 #: Folder of the public vocabulary files; a parameter of every function that encodes.
 VOCABULARIES = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pattern that splits texts for this vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of so many blanks, and words of so many characters, are not given to the pattern: its look-ahead would recurse over them.
+LONG_RUN = 2000
+#: White space as the pattern has it. Fixed value.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: Lengths in one block of the two-level running sums.
-BLOCK_WIDTH = 1024
+BLOCK_WIDTH = 128
 
 
 @lru_cache(4)
@@ -36,11 +41,28 @@ def encoding(folder: str = VOCABULARIES, name: str = RANKS):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_count(text: str | None, encoder) -> int:
+    """Tokens of the whole text; 0 for null and empty ones.
+
+    A long run of blanks is encoded on its own: the pattern takes all of it but the last blank, which goes with what
+    follows (or all of it at the text's end), so the parts have the tokens of the whole.
+    """
+    if not text:
+        return 0
+    total = at = 0
+    if len(text) >= LONG_RUN:
+        for run in _BLANKS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            total += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+            at = end
+    return total + len(encoder.encode_ordinary(text[at:]))
+
+
 def _lengths(folder: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(folder, name).encode_ordinary
+        encoder = encoding(folder, name)
         for batch in text_blocks(batches, "text"):
-            sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            sizes = [token_count(t, encoder) for t in batch.column("text").to_pylist()]
             others = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sizes, pa.int64())], [*others, "n_tokens"])
 
@@ -48,7 +70,9 @@ def _lengths(folder: str, name: str):
 
 
 def token_lengths(docs: DataFrame, folder: str = VOCABULARIES, name: str = RANKS) -> DataFrame:
-    """doc_id and n_tokens of each whole text; null and empty texts have 0 tokens. Repeated rows count each."""
+    """doc_id and n_tokens of each whole text; null and empty texts have 0 tokens. Repeated rows count each, null ids stay,
+    texts of any length (blanks only, one word) are encoded whole. Columns other than these two are not read; an empty
+    table gives no rows."""
     arrow_limits(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_lengths(folder, name), "doc_id long, n_tokens long")
 
@@ -69,7 +93,10 @@ def _counted(folder: str, name: str):
 
 
 def length_histogram(docs: DataFrame, folder: str = VOCABULARIES, name: str = RANKS) -> DataFrame:
-    """(n_tokens, documents) for each encoded length that occurs."""
+    """(n_tokens, documents) for each encoded length that occurs: null and empty texts count under 0, repeated rows each.
+
+    Only the text is read, so ids may be null and other columns may have any name. An empty table gives no rows.
+    """
     arrow_limits(docs.sparkSession)
     counted = docs.select("text").mapInArrow(_counted(folder, name), "n_tokens long, documents long")
     return counted.groupBy("n_tokens").agg(F.sum("documents").alias("documents"))
@@ -82,8 +109,9 @@ def suffix_totals(histogram: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
 
     A limit between two lengths is answered by the next longer one's docs_from and tokens_below. Running sums go by
     blocks of `width` lengths, then over the blocks' totals, so no task sees more than one block of a long histogram.
-    An empty histogram gives no rows.
+    An empty histogram gives no rows. The histogram is written first: it is read twice, the texts behind it once.
     """
+    histogram = written(histogram.select("n_tokens", "documents"), "lengths")
     rows = histogram.select("n_tokens", "documents", (F.col("n_tokens") * F.col("documents")).alias("tokens"), F.floor(F.col("n_tokens") / width).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("documents").alias("d"), F.sum("tokens").alias("t"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

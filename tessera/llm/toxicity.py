@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.sampling import labelled_sample, remainder
+from tessera.llm.sampling import fitted, labelled_sample, remainder
 from tessera.llm.shared import Words, arrow_limits, long_range, mix, text_blocks
 
 WINDOW, STEP = 32, 24
@@ -408,7 +408,7 @@ def _score(sent):
 def fit(docs: DataFrame, labels: DataFrame, learn=None, per_class: int = PER_CLASS) -> Network:
     """Train on a bounded sample (per_class documents of each class) of the labelled rows that `learn` admits."""
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if learn is None else learn, per_class, LONGEST)
-    return train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), sample["label"].to_numpy())
+    return fitted(sample, train)
 
 
 def toxicity(docs: DataFrame, net: Network) -> DataFrame:
