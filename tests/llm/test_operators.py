@@ -239,14 +239,36 @@ def test_oracles(spark):
 
 
 def test_licence_scan_folds(spark):
-    mit = license_scan.NOTICES[4][1]
-    texts = ["Copyright (c) 2020 Somebody\n" + mit.replace("License", "Licence").upper().replace(",", " -"), "some prose\nLicenced under the Apache Licence, version 2.0\nmore", "licensed under nothing known", *EDGE, "Copyright 2020 me"]
+    full = lambda name: (license_scan.LICENCES / f"{name}.txt").read_text()
+    mit, isc, bsd = full("MIT"), full("ISC"), full("BSD-3-Clause")
+    unwrapped = " ".join(bsd.split())
+    # The word copyright may begin a wrapped line of the terms.
+    wrapped = isc.replace("provided that the above\ncopyright notice", "provided that the above\ncopyright notice")
+    texts = [
+        "Copyright (c) 2020 Somebody\n" + mit.replace("License", "Licence").upper().replace(",", " -"),
+        "some prose\nLicenced under the Apache Licence, version 2.0\nmore",
+        "licensed under nothing known",
+        "MIT License\n\nCopyright (c) 2021 A. Holder\n\n" + mit,
+        "ISC License\n\nCopyright 2001 Jane Doe <j@x>\n\n" + wrapped,
+        wrapped,
+        "code\n// SPDX-License-Identifier: GPL-3.0-or-later\nmore code",
+        "BSD 3-Clause License\nCopyright Jane Doe\nAll rights reserved.\n" + unwrapped,
+        full("Apache-2.0"),
+        full("GPL-3.0-only").split("END OF TERMS")[0].replace("2007 Free", "2007, 2008 Free"),
+        "/*\n" + "".join(f" * {line}\n" for line in mit.splitlines()) + " */",
+        bsd.replace("1.", "*").replace("2.", "*").replace("3.", "*"),
+        full("GPL-2.0-only") + "and more words",
+        *EDGE, "Copyright 2020 me", "the " * 500_000, "x" * 2_000_000,
+    ]
+    want = {(0, "MIT", "document"), (1, "Apache-2.0", "line"), (3, "MIT", "document"), (4, "ISC", "document"), (5, "ISC", "document"), (6, "GPL-3.0-or-later", "line"), (7, "BSD-3-Clause", "document"), (8, "Apache-2.0", "document"), (9, "GPL-3.0-only", "document"), (10, "MIT", "document"), (11, "BSD-3-Clause", "document")}
     frame = docs(spark, texts)
     known = license_scan.known_licences(spark)
     got = {(r.doc_id, r.licence, r.scope) for r in license_scan.license_scan(frame, known).collect()}
-    assert got == {(0, "MIT", "document"), (1, "Apache-2.0", "line")}
+    assert {x for x in got if x[2] == "document" or x[0] in (1, 6)} == want
     assert {(r.doc_id, r.licence, r.scope) for r in license_scan.license_scan(frame, known, broadcast_rows=0).collect()} == got
+    assert {(r.doc_id, r.licence, r.scope) for r in license_scan.license_scan(frame.union(frame), known).collect()} == got
     assert license_scan.license_scan(frame.limit(0), known).count() == 0
+    assert license_scan.license_scan(frame, known.limit(0)).count() == 0
 
 
 def test_warc_edges(spark):
@@ -309,6 +331,26 @@ def test_token_counts(spark):
     assert token_counts.suffix_totals(token_counts.length_histogram(frame.limit(0))).count() == 0
 
 
+@needs_vocabulary
+def test_token_counts_of_very_long_runs(spark):
+    runs = [" " * 2_000_000, "a" * 2_000_000, "word" + "\n" * 1_000_000 + "word", " " * 3000 + "x"]
+    frame = docs(spark, [None, "", *runs])
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_lengths(frame).collect()}
+    encoder = token_counts.encoding()
+    # Blanks before a word: all but the last are a piece of their own.
+    assert [got[0], got[1], got[2], got[5]] == [0, 0, 2_000_000, len(encoder.encode_ordinary(runs[3]))]
+    assert got[3] == len(encoder.encode_ordinary(runs[1])) and sum(r.documents for r in token_counts.suffix_totals(token_counts.length_histogram(frame)).collect()) == 6
+
+
+def test_token_counts_cut_at_blanks_change_nothing(monkeypatch):
+    monkeypatch.setattr(token_counts, "LONG_RUN", 3)
+    monkeypatch.setattr(token_counts, "_BLANKS", re.compile(token_counts._BLANKS.pattern.replace("2000", "3")))
+    rng, encoder = random.Random(1), token_counts.encoding()
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", "  ", "\n", "\t", "\u3000", "\x85", "\x1c", "a", "bc", "1", "!", "é", "\u200b"]) for _ in range(rng.randrange(30)))
+        assert token_counts.token_count(text, encoder) == len(encoder.encode_ordinary(text))
+
+
 @needs_vocabulary
 @pytest.mark.parametrize("head", [100_000, 3])
 def test_language_model(spark, head):
