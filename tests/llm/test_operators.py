@@ -385,7 +385,7 @@ def test_language_model_does_not_depend_on_the_head(spark):
 @needs_vocabulary
 def test_language_model_is_a_distribution():
     rng = random.Random(5)
-    texts = pa.array([prose(rng, 200, 40) for _ in range(20)])
+    texts = pa.array([prose(rng, 200, 3000) for _ in range(20)])
     model = language_model.train(texts, rounds=1)
     ids = np.array([1, 2, 3, 40, 5] * 30, np.int32)
     ids[:60] = language_model.Spelling(VOCABULARIES).ids(Words(texts))[0][:60]
