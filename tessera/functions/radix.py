@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType
 
 # Multiply-shift factors for keys of 32 and 64 bits.
 FACTOR_32 = 2654435769
@@ -76,33 +73,50 @@ def multiply_shift_64(key: Column, bits: int) -> Column:
     return F.shiftright(upper, 32 - bits)
 
 
-@F.pandas_udf(LongType())
-def multiply_shift_64_full(key: pd.Series, bits: pd.Series) -> pd.Series:
-    """The same for every 64-bit key; unsigned products wrap, which no Spark expression does under ANSI rules."""
-    known = key.notna()
-    product = key.where(known, 0).to_numpy().astype(np.int64).view(np.uint64) * np.uint64(FACTOR_64)
-    out = pd.Series((product >> (np.uint64(64) - bits.to_numpy().astype(np.uint64))).astype(np.int64), dtype="Int64")
-    return out.where(known)
-
-
-@F.pandas_udf(IntegerType())
-def murmur3_finalizer_32(key: pd.Series) -> pd.Series:
-    """Murmur3's 32-bit avalanche step of each key."""
-    known = key.notna()
-    x = key.where(known, 0).to_numpy().astype(np.int64).astype(np.uint32)
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return pd.Series((x ^ (x >> np.uint32(16))).view(np.int32), dtype="Int32").where(known)
-
-
-@F.pandas_udf(LongType())
-def murmur3_finalizer_64(key: pd.Series) -> pd.Series:
-    """Murmur3's 64-bit avalanche step of each key."""
-    known = key.notna()
-    x = key.where(known, 0).to_numpy().astype(np.int64).view(np.uint64)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return pd.Series((x ^ (x >> np.uint64(33))).view(np.int64), dtype="Int64").where(known)
+def _low_product(x: Column, factor: int) -> Column:
+    """x * factor modulo 2**32 for 0 <= x < 2**32, by halves of 16 bits: no product exceeds 2**48."""
+    low, high = x.bitwiseAND(F.lit(0xFFFF)), F.shiftright(x, 16)
+    upper = F.shiftleft((high * F.lit(factor)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (low * F.lit(factor) + upper).bitwiseAND(F.lit(_LOW))
+
+
+def wrapped_product(x: Column, factor: int) -> Column:
+    """x * factor modulo 2**64 as a signed integer, for every 64-bit x; nothing overflows on the way."""
+    high, low = factor >> 32, factor & _LOW
+    xl, xh = x.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(x, 32)
+    first, second = xl.bitwiseAND(F.lit(0xFFFF)) * F.lit(low), F.shiftright(xl, 16) * F.lit(low)
+    lower = first + F.shiftleft(second.bitwiseAND(F.lit(0xFFFF)), 16)
+    upper = F.shiftright(lower, 32) + F.shiftright(second, 16) + _low_product(xl, high) + _low_product(xh, low)
+    return F.shiftleft(upper.bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(lower.bitwiseAND(F.lit(_LOW)))
+
+
+def multiply_shift_64_full(key: Column, bits: int) -> Column:
+    """Upper `bits` of key * FACTOR_64 modulo 2**64 for every 64-bit key; null for null."""
+    return F.shiftrightunsigned(wrapped_product(key.cast("long"), FACTOR_64), 64 - bits)
+
+
+# Shifts and factors of Murmur3's avalanche steps.
+MURMUR_32 = (16, 0x85EBCA6B, 13, 0xC2B2AE35, 16)
+MURMUR_64 = (33, 0xFF51AFD7ED558CCD, 33, 0xC4CEB9FE1A85EC53, 33)
+
+
+def murmur3_finalizer_32(key: Column) -> Column:
+    """Murmur3's 32-bit avalanche step of each key's low 32 bits, as a signed integer; null for null."""
+    a, f, b, g, c = MURMUR_32
+    x = key.cast("long").bitwiseAND(F.lit(_LOW))
+    x = _low_product(x.bitwiseXOR(F.shiftright(x, a)), f)
+    x = _low_product(x.bitwiseXOR(F.shiftright(x, b)), g)
+    x = x.bitwiseXOR(F.shiftright(x, c))
+    return F.when(x >= 2**31, x - 2**32).otherwise(x).cast("int")
+
+
+def murmur3_finalizer_64(key: Column) -> Column:
+    """Murmur3's 64-bit avalanche step of each key; null for null."""
+    a, f, b, g, c = MURMUR_64
+    x = key.cast("long")
+    x = wrapped_product(x.bitwiseXOR(F.shiftrightunsigned(x, a)), f)
+    x = wrapped_product(x.bitwiseXOR(F.shiftrightunsigned(x, b)), g)
+    return x.bitwiseXOR(F.shiftrightunsigned(x, c))
 
 
 def log2_floor(x: Column) -> Column:

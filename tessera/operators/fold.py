@@ -9,9 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(rows: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """function applied to each chunk; the chunk size is Spark's Arrow batch size."""
-    return rows.mapInPandas(lambda chunks: map(function, chunks), schema)
+def morsels(chunks: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
+    """The chunks cut to at most `size` rows each."""
+    for chunk in chunks:
+        for first in range(0, len(chunk), size or max(len(chunk), 1)):
+            yield chunk.iloc[first : first + (size or len(chunk))]
+
+
+def fold(rows: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, morsel_rows: int | None = None) -> DataFrame:
+    """function applied to each chunk, of morsel_rows rows at most; unset, the chunk size is Spark's Arrow batch size."""
+    return rows.mapInPandas(lambda chunks: map(function, morsels(chunks, morsel_rows)), schema)
 
 
 def fold_with_state(rows: DataFrame, start: Callable[[], object], step: Callable[[object, pd.DataFrame], object], finish: Callable[[object], pd.DataFrame], schema: str) -> DataFrame:

@@ -12,6 +12,8 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.storagelevel import StorageLevel
+
 from tessera.functions.radix import RadixBits
 
 
@@ -40,18 +42,26 @@ EXECUTION_METHODS = {
     "gpu_stream_unified": Strategy.AUTO,
     "het": Strategy.BROADCAST,
     "gpu_build_het_probe": Strategy.BROADCAST,
-    "cpu_partitioned_radix_two_pass": Strategy.SHUFFLE_HASH,
-    "gpu_radix_two_pass": Strategy.SHUFFLE_HASH,
-    "gpu_triton_two_pass": Strategy.SORT_MERGE,
 }
 
-#: Build sides over so many rows are not broadcast even if asked for (24 bytes a row in the hash relation).
-BROADCAST_ROWS = 20_000_000
+#: Two-pass radix joins by name, and how their rows are placed (see radix_join_sum).
+RADIX_METHODS = {
+    "cpu_partitioned_radix_two_pass": "first_pass",
+    "gpu_radix_two_pass": "hash",
+    "out_of_core_radix_two_pass": "first_pass_sorted",
+}
+
+#: Build sides over so many rows are not broadcast even if asked for (24 bytes a row in the hash relation, 48 MB).
+BROADCAST_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
 class HashJoin:
-    """Settings of a join; `with_` gives a changed copy."""
+    """Settings of a join; `with_` gives a changed copy.
+
+    selective says that build keys may be null, which leaves them out. Unset, a null build key matches nothing either,
+    but validate then raises on it, as it does on duplicate keys of the perfect scheme.
+    """
 
     scheme: HashingScheme = HashingScheme.LINEAR_PROBING
     selective: bool = False
@@ -69,38 +79,78 @@ class HashJoin:
         return 2 * (1 << max(0, (max(rows, 1) - 1).bit_length()))
 
     def build(self, build: DataFrame) -> DataFrame:
-        """The build side as the scheme holds it. perfect with validate raises on duplicate keys, else one row of a key stays."""
+        """The build side as the scheme holds it: no null keys. With validate, what the settings exclude raises."""
+        if self.validate and not self.selective and not build.filter(F.col("key").isNull()).isEmpty():
+            raise ValueError("null build keys need a selective join")
         build = build.filter(F.col("key").isNotNull())
-        if self.scheme is not HashingScheme.PERFECT:
-            return build
-        if self.validate and not build.groupBy("key").count().filter("count > 1").isEmpty():
+        if self.scheme is HashingScheme.PERFECT and self.validate and not build.groupBy("key").count().filter("count > 1").isEmpty():
             raise ValueError("the perfect scheme needs unique build keys")
         return build
 
+    def table(self, build: DataFrame) -> HashTable:
+        """A build side that several probes use: it is read and filtered once. `free` it after the last of them."""
+        return HashTable(self, self.build(build).select("key").persist(StorageLevel.MEMORY_AND_DISK))
+
     def _hinted(self, build: DataFrame) -> DataFrame:
         if self.strategy is Strategy.AUTO:
             return build
-        if self.strategy is Strategy.BROADCAST and build.limit(self.broadcast_rows + 1).count() > self.broadcast_rows:
+        if self.strategy is Strategy.BROADCAST and build.count() > self.broadcast_rows:
             return build.hint("shuffle_hash")
         return build.hint(self.strategy.value)
 
     def probe_sum(self, build: DataFrame, probe: DataFrame) -> DataFrame:
         """One row: probe_sum, the sum of probe values over all matches."""
+        return self._sum(self._hinted(self.build(build).select("key")), probe)
+
+    def _sum(self, keys: DataFrame, probe: DataFrame) -> DataFrame:
         how = "left_semi" if self.scheme is HashingScheme.PERFECT else "inner"
-        keys = self._hinted(self.build(build).select("key"))
         joined = probe.select("key", "value").join(keys, "key", how)
         return joined.agg(F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("probe_sum"))
 
 
-def radix_join_sum(build: DataFrame, probe: DataFrame, bits: RadixBits, scheme: HashingScheme = HashingScheme.PERFECT, by_id: bool = True) -> DataFrame:
-    """probe_sum over a join of radix partitions: both sides go to the task of their radix id, then hash-join there.
+@dataclass(frozen=True)
+class HashTable:
+    """A persisted build side; `copy` gives one for other settings over the same rows."""
+
+    join: HashJoin
+    keys: DataFrame
+
+    def probe_sum(self, probe: DataFrame) -> DataFrame:
+        return self.join._sum(self.join._hinted(self.keys), probe)
+
+    def copy(self, **changes) -> HashTable:
+        return HashTable(self.join.with_(**changes), self.keys)
+
+    def free(self) -> None:
+        self.keys.unpersist()
+
+
+def radix_join_sum(build: DataFrame, probe: DataFrame, bits: RadixBits, scheme: HashingScheme = HashingScheme.PERFECT, placement: str = "hash") -> DataFrame:
+    """probe_sum over a join of radix partitions, whose ids are part of the join condition: one exchange a side.
 
-    The id is part of the join condition, so no further exchange is made. With by_id unset Spark's own hash exchange is
-    used, which spreads skewed low bits better and can be split by adaptive execution.
+    placement says how rows reach their tasks:
+    hash: Spark's exchange over key and id, which spreads skewed low bits and which adaptive execution can split;
+    by_id: task k gets exactly radix id k of all passes, so tasks equal the fanout and a hot id stays whole;
+    first_pass: task k gets id k of the first pass, and hashes the second pass's partitions in it;
+    first_pass_sorted: the same, but the second pass orders a task's rows by its id and key and the join merges them,
+    so a partition larger than memory spills instead of failing.
     """
     how = "left_semi" if scheme is HashingScheme.PERFECT else "inner"
-    left, right = (df.filter(F.col("key").isNotNull()).withColumn("pid", bits.combined_id(F.col("key")).cast("int")) for df in (probe, build))
-    if by_id:
-        left, right = left.repartitionById(bits.fanout(), "pid"), right.repartitionById(bits.fanout(), "pid")
-    joined = left.join(right.select("key", "pid").hint("shuffle_hash"), ["key", "pid"], how)
+    ids = [f"p{k}" for k in range(1, len(bits.passes) + 1)]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.filter(F.col("key").isNotNull())
+        if placement in ("hash", "by_id"):
+            rows = rows.withColumn("pid", bits.combined_id(F.col("key")).cast("int"))
+            return rows if placement == "hash" else rows.repartitionById(bits.fanout(), "pid")
+        for k, name in enumerate(ids, 1):
+            rows = rows.withColumn(name, bits.partition_id(F.col("key"), k).cast("int"))
+        rows = rows.repartitionById(bits.fanout(1), "p1")
+        return rows.sortWithinPartitions(*ids, "key") if placement == "first_pass_sorted" else rows
+
+    if placement not in ("hash", "by_id", "first_pass", "first_pass_sorted"):
+        raise ValueError(f"unknown placement {placement!r}")
+    on = ["pid", "key"] if placement in ("hash", "by_id") else [*ids, "key"]
+    right = placed(build.select("key")).hint("merge" if placement == "first_pass_sorted" else "shuffle_hash")
+    joined = placed(probe.select("key", "value")).join(right, on, how)
     return joined.agg(F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("probe_sum"))

@@ -79,12 +79,24 @@ def partition_lengths(counts: DataFrame) -> DataFrame:
     return counts.groupBy("partition_id").agg(F.sum("cnt").alias("len"))
 
 
-def scatter_slots(rows: DataFrame, offsets: DataFrame) -> DataFrame:
-    """slot of each row: its partition's offset plus its rank by place among the partition's rows of its chunk."""
-    rank = Window.partitionBy("chunk_id", "partition_id").orderBy("pos")
-    rows = rows.withColumn("rank", F.row_number().over(rank) - 1)
-    placed = rows.join(offsets.select("chunk_id", "partition_id", "offset"), ["chunk_id", "partition_id"])
-    return placed.withColumn("slot", F.col("offset") + F.col("rank")).drop("rank", "offset")
+#: Places in one block of the two-level ranks.
+RANK_BLOCK = 100_000
+
+
+def scatter_slots(rows: DataFrame, offsets: DataFrame, block: int = RANK_BLOCK) -> DataFrame:
+    """slot of each row: its partition's offset plus its rank by place among the partition's rows of its chunk.
+
+    Ranks go in two levels: rows are counted by blocks of `block` places, the counts' running sums (one row a block)
+    give each block its base, and rows are numbered within their block only, so no task sorts a whole partition.
+    """
+    keys = ["chunk_id", "partition_id"]
+    rows = rows.withColumn("_block", F.floor(F.col("pos") / block))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    bases = bases.join(offsets.select(*keys, "offset"), keys).select(*keys, "_block", (F.col("offset") + F.col("_base")).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_block", *keys).orderBy("pos")) - 1
+    placed = rows.withColumn("_rank", inside).join(bases, [*keys, "_block"])
+    return placed.withColumn("slot", F.col("_base") + F.col("_rank")).drop("_base", "_rank", "_block")
 
 
 def partition(rows: DataFrame, bits: RadixBits) -> DataFrame:
@@ -100,6 +112,12 @@ def partition_slice(rows: DataFrame, partition_id: int, chunk_id: int | None = N
     return rows if chunk_id is None else rows.filter(F.col("chunk_id") == chunk_id)
 
 
+def partition_capacity(counts: DataFrame, pad: int, tuple_bytes: int) -> DataFrame:
+    """len, padded_len and bytes of each partition: the room it takes with its padding before it."""
+    padded = F.col("len") + pad
+    return partition_lengths(counts).withColumn("padded_len", padded).withColumn("bytes", padded * tuple_bytes)
+
+
 def copy_with_payload(rows: DataFrame, bits: RadixBits) -> tuple[DataFrame, DataFrame]:
     """(key and value with their partition, counts by partition): one copy serves the count and what follows."""
     copied = with_partition(rows.select("key", "value"), bits)
@@ -114,19 +132,18 @@ def transform_partition(rows: DataFrame, partition_id: int) -> DataFrame:
 def assign_tasks(counts: DataFrame, workers: int) -> DataFrame:
     """worker of each partition (partition_id, cnt dense from 0): runs of partitions, cut after the one that reaches the
     mean load; the last worker takes the rest. Greedy and sequential over the histogram's few rows, which are folded
-    in one expression; the relation itself is not touched."""
+    in one expression that keeps the places of the cuts only; the relation itself is not touched."""
     listed = counts.agg(F.array_sort(F.collect_list(F.struct("partition_id", F.col("cnt").cast("long").alias("cnt")))).alias("c"))
     mean = F.ceil(F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["cnt"]) / workers).cast("long")
-    start = F.struct(F.lit(1).cast("long").alias("worker"), F.lit(0).cast("long").alias("load"), F.array().cast("array<bigint>").alias("of"))
+    start = F.struct(F.lit(0).cast("long").alias("load"), F.array().cast("array<bigint>").alias("cuts"))
 
     def step(state, x):
-        full = (state["load"] + x["cnt"] >= F.col("mean")) & (state["worker"] < workers)
+        full = (state["load"] + x["cnt"] >= F.col("mean")) & (F.size(state["cuts"]) < workers - 1)
         return F.struct(
-            F.when(full, state["worker"] + 1).otherwise(state["worker"]).alias("worker"),
             F.when(full, F.lit(0).cast("long")).otherwise(state["load"] + x["cnt"]).alias("load"),
-            F.concat(state["of"], F.array(state["worker"])).alias("of"),
+            F.when(full, F.concat(state["cuts"], F.array(x["partition_id"].cast("long")))).otherwise(state["cuts"]).alias("cuts"),
         )
 
-    folded = listed.withColumn("mean", mean).withColumn("of", F.aggregate("c", start, step)["of"])
-    rows = folded.select(F.explode(F.arrays_zip("c", "of")).alias("x"))
-    return rows.select(F.col("x.c.partition_id").alias("partition_id"), F.col("x.c.cnt").alias("cnt"), F.col("x.of").alias("worker"))
+    cuts = listed.withColumn("mean", mean).select(F.aggregate("c", start, step)["cuts"].alias("cuts"))
+    worker = 1 + F.size(F.filter("cuts", lambda c: c < F.col("partition_id"))).cast("long")
+    return counts.crossJoin(F.broadcast(cuts)).select("partition_id", F.col("cnt").cast("long").alias("cnt"), worker.alias("worker"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.radix import RadixBits
-from tessera.operators.hash_join import EXECUTION_METHODS, HashingScheme, HashJoin, Strategy, radix_join_sum
+from tessera.operators.hash_join import EXECUTION_METHODS, RADIX_METHODS, HashingScheme, HashJoin, Strategy, radix_join_sum
 from tessera.session import table
 
 _PERFECT, _LP, _CHAIN = HashingScheme.PERFECT, HashingScheme.LINEAR_PROBING, HashingScheme.BUCKET_CHAINING
@@ -29,16 +29,29 @@ def _npj(join: HashJoin, build="o_orderkey", probe="l_orderkey", copies=False):
     return run
 
 
-def _radix(bits: tuple[int, ...], scheme: HashingScheme, copies=False, by_id=True):
+def _radix(bits: tuple[int, ...], scheme: HashingScheme, copies=False, placement="hash"):
     def run(spark, sf_dir):
         b = _orders(spark, sf_dir)
         if copies:
             b = b.union(b.filter("key % 10 = 0"))
-        return radix_join_sum(b, _lines(spark, sf_dir), RadixBits(bits), scheme, by_id)
+        return radix_join_sum(b, _lines(spark, sf_dir), RadixBits(bits), scheme, placement)
 
     return run
 
 
+def two_probes(spark, sf_dir):
+    """One build side, probed by the lines with an even and by those with an odd number."""
+    held = HashJoin(_LP).table(_orders(spark, sf_dir))
+    sides = [_lines(spark, sf_dir, f"CASE WHEN l_linenumber % 2 = {k} THEN l_orderkey END") for k in (0, 1)]
+    return held.probe_sum(sides[0]).union(held.copy(scheme=_PERFECT).probe_sum(sides[1]))
+
+
+def table_lengths(spark, sf_dir):
+    """Slots that tables over the orders would have, by scheme."""
+    rows = _orders(spark, sf_dir).count()
+    return spark.createDataFrame([(s.value, HashJoin(s).table_length(rows)) for s in (_PERFECT, _LP)], "scheme string, slots long")
+
+
 _GAPS = "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey END"
 _HOLES = "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_orderkey END"
 
@@ -67,8 +80,11 @@ QUERIES = {
     "radix_join_chaining": _radix((4,), _CHAIN, copies=True),
     "radix_join_two_pass": _radix((3, 3), _PERFECT),
     "radix_join_three_pass": _radix((2, 2, 2), _CHAIN),
-    "radix_join_hash_exchange": _radix((3, 3), _PERFECT, by_id=False),
-} | {f"join_method_{name}": _npj(HashJoin(_LP, strategy=s)) for name, s in EXECUTION_METHODS.items()}
+    "radix_join_hash_exchange": _radix((3, 3), _PERFECT),
+    "radix_join_by_id": _radix((3, 3), _PERFECT, placement="by_id"),
+    "npj_table_of_two_probes": two_probes,
+    "hash_table_lengths": table_lengths,
+} | {f"join_method_{name}": _npj(HashJoin(_LP, strategy=s)) for name, s in EXECUTION_METHODS.items()} | {f"join_method_{name}": _radix((3, 3), _CHAIN, placement=p) for name, p in RADIX_METHODS.items()}
 
 _PLAIN, _TWICE = _sql(), _sql(copies=True)
 ORACLES = dict.fromkeys(QUERIES, _PLAIN) | {
@@ -77,4 +93,6 @@ ORACLES = dict.fromkeys(QUERIES, _PLAIN) | {
     "npj_null_probe_keys": _sql(probe=_HOLES),
     "npj_out_of_range_probe": _sql(probe="l_orderkey + 100"),
     "radix_join_chaining": _TWICE,
+    "npj_table_of_two_probes": " UNION ALL ".join(_sql(probe=f"CASE WHEN l_linenumber % 2 = {k} THEN l_orderkey END") for k in (0, 1)),
+    "hash_table_lengths": "SELECT 'perfect' AS scheme, count(*) AS slots FROM orders UNION ALL SELECT 'linear_probing', CAST(2 * pow(2, ceil(log2(count(*)))) AS BIGINT) FROM orders",
 }

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import radix as R
 from tessera.operators import partition as P
-from tessera.operators.fold import dot_product, fold_with_state
+from tessera.operators.fold import dot_product, fold, fold_with_state
 from tessera.operators.scan import exclusive_scan
-from tessera.session import table
+from tessera.plans.harness import POINT
+from tessera.session import scratch_folder, table
 from tessera.sources import generators as G
+from tessera.sources import relations as S
 
 BITS, CHUNKS, PAD = R.RadixBits((4,)), 4, 8
 TWO = R.RadixBits((3, 2))
@@ -79,9 +81,17 @@ def partition_slice(spark, sf_dir):
 
 
 def copy_with_payload(spark, sf_dir):
+    return P.copy_with_payload(_orders(spark, sf_dir), BITS)[0]
+
+
+def copy_with_payload_counts(spark, sf_dir):
     return P.copy_with_payload(_orders(spark, sf_dir), BITS)[1]
 
 
+def partition_capacity(spark, sf_dir):
+    return P.partition_capacity(_counts(spark, sf_dir), PAD, 16)
+
+
 def transform_partition(spark, sf_dir):
     return P.transform_partition(_chunked(spark, sf_dir), 5)
 
@@ -104,7 +114,7 @@ def mult_shift_hash64(spark, sf_dir):
 
 def mult_shift_hash64_full(spark, sf_dir):
     key = F.col("key") - 5000
-    return _orders(spark, sf_dir).select("pos", R.multiply_shift_64_full(key, F.lit(12)).alias("h"))
+    return _orders(spark, sf_dir).select("pos", R.multiply_shift_64_full(key, 12).alias("h"))
 
 
 def murmur3_finalizer(spark, sf_dir):
@@ -141,6 +151,99 @@ def stateful_fold_sum(spark, sf_dir):
     return parts.agg(F.sum("part").alias("total"))
 
 
+def fold_morsels(spark, sf_dir):
+    """A stateless fold over morsels of 1000 rows at most."""
+    doubled = fold(_orders(spark, sf_dir).select("value"), lambda f: f * 2, "value long", morsel_rows=1000)
+    return doubled.agg(F.sum("value").alias("total"))
+
+
+def fanouts(spark, sf_dir):
+    return spark.range(1, 13).select(F.col("id").alias("bits"), R.fanout(F.col("id").cast("int")).alias("fanout"))
+
+
+def radix_bits_parsed(spark, sf_dir):
+    rows = [(text, k, b, bits.ignored(k), bits.fanout()) for text in ("8", "8,4", "2,3,4") for bits in [R.RadixBits.parse(text)] for k, b in enumerate(bits.passes, 1)]
+    return spark.createDataFrame(rows, "text string, number long, bits long, ignored long, fanout long")
+
+
+def relation_round_trip(spark, sf_dir):
+    """Orders as a relation file, written with in-band nulls and read back."""
+    path = scratch_folder(spark, "relation")
+    rows = _orders(spark, sf_dir).select(F.when(F.col("key") % 5 != 0, F.col("key")).alias("key"), "value")
+    S.write_relation(rows, path)
+    back = S.read_relation(spark, path)
+    return back.select(R.from_sentinel(F.col("key")).alias("key"), "value")
+
+
+def relation_join(spark, sf_dir):
+    """A join whose two sides are read from comma files."""
+    paths = [scratch_folder(spark, side) for side in ("inner", "outer")]
+    rows = _orders(spark, sf_dir)
+    S.write_relation(rows.select(F.col("pos").alias("key"), "value"), paths[0], "csv", compress=False)
+    S.write_relation(rows.select((F.col("pos") * 2).alias("key"), "value"), paths[1], "csv", compress=False)
+    build, probe = S.read_join(spark, *paths, sep=",")
+    return probe.join(build.select("key"), "key").agg(F.sum("value").alias("probe_sum"))
+
+
+def measurement_csv(spark, sf_dir):
+    """Two files of measurements with a list column, read back together."""
+    paths = [scratch_folder(spark, "points") for _ in range(2)]
+    for k, path in enumerate(paths):
+        points = spark.createDataFrame([(f"q{k}", k == 0, k, 0.5 * k, 10, 20.0)], POINT)
+        S.write_points(points.withColumn("threads", F.array(F.lit(1), F.lit(2 + k))), path)
+    return S.read_points(spark, *paths, schema=f"{POINT}, threads string")
+
+
+def gen_uniform(spark, sf_dir):
+    """Draws from [5, 25): every value occurs, each near its share."""
+    counts = G.uniform(spark, 20_000, 5, 25).groupBy("key").agg(F.count("*").alias("n"))
+    return counts.select("key", F.col("n").between(800, 1200).alias("near"))
+
+
+def gen_zipf(spark, sf_dir):
+    """Draws over 40 million ranks: the first ranks have their shares of the harmonic sum, and no draw lies outside."""
+    draws = G.zipf(spark, 50_000, 40_000_000, 1.0)
+    # Harmonic number of 40 million: log(n) + 0.5772...
+    share = F.lit(50_000 / 18.0817) / (F.col("key") + 1)
+    heads = draws.filter("key < 4").groupBy("key").agg(F.count("*").alias("n"))
+    bad = draws.filter("key < 0 OR key >= 40000000").count()
+    return heads.select("key", (F.abs(F.col("n") - share) < 5 * F.sqrt(share)).alias("near"), F.lit(bad).alias("outside"))
+
+
+def gen_lineitem(spark, sf_dir):
+    rows = G.lineitem(spark, 0.001)
+    inside = lambda c, low, high: ((F.min(c) >= low) & (F.max(c) <= high)).alias(c)
+    return rows.agg(F.count("*").between(5990, 6010).alias("sized"), inside("shipdate", 0, 2555), inside("discount", 0, 10), inside("quantity", 1, 50), inside("extendedprice", 1, 2**31 - 2))
+
+
+def gen_presets(spark, sf_dir):
+    names = ["kim", "blanas", "blanas4mb", "test", "2gib_32gib", "32gib_32gib"]
+    return spark.createDataFrame([(n, G.preset(n).inner, G.preset(n).outer) for n in names], "name string, build_rows long, probe_rows long")
+
+
+def gen_scaled_presets(spark, sf_dir):
+    """The kim and blanas inputs at a ten-thousandth: every probe key has its build key, so the sum is that of all probes."""
+    sums = []
+    for name in ("kim", "blanas"):
+        build, probe = G.join_input(spark, G.preset(name), scale=1e-4)
+        sums.append(probe.join(build.select("key"), "key").agg(F.lit(name).alias("name"), F.sum("value").alias("probe_sum")))
+    return sums[0].union(sums[1])
+
+
+def gen_payload(spark, sf_dir):
+    """Payloads drawn from [0, 10000), by a caller's own generator."""
+    own = lambda spark, rows: G.join_input(spark, G.DataSet(rows, 3 * rows, 0.5, payload=(0, 10_000)))
+    build, probe = G.generated(spark, own, rows=2000)
+    value = build.union(probe).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return value.select("n", ((F.col("low") >= 0) & (F.col("low") < 50)).alias("low"), F.col("high").between(9950, 9999).alias("high"))
+
+
+def gen_selectivity(spark, sf_dir):
+    """Keys kept at 0, 30 and 100 percent."""
+    kept = [G.primary_key(spark, 20_000, p).agg(F.lit(p).alias("percent"), F.abs(F.count("key") - 200 * p).alias("off")) for p in (0, 30, 100)]
+    return kept[0].union(kept[1]).union(kept[2]).select("percent", (F.col("off") < 400).alias("near"))
+
+
 def gen_primary_key(spark, sf_dir):
     return G.primary_key(spark, 5000, seed=11).agg(F.count("key").alias("n"), F.count_distinct("key").alias("distinct_keys"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum("key").alias("total"))
 
@@ -162,8 +265,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         radix_histogram, chunked_histogram, chunked_offsets_padded, contiguous_offsets_padded, chunk_local_offsets, partition_len_max, scatter_slots, prefix_scan_exclusive,
-        partition_slice, copy_with_payload, transform_partition, task_assignment, radix_partition_id, mult_shift_hash32, mult_shift_hash64, mult_shift_hash64_full, murmur3_finalizer, log2_pow2, null_sentinel,
+        partition_slice, copy_with_payload, copy_with_payload_counts, partition_capacity, transform_partition, task_assignment, radix_partition_id, mult_shift_hash32, mult_shift_hash64, mult_shift_hash64_full, murmur3_finalizer, log2_pow2, null_sentinel,
         narrow_keys, day_numbers, stateful_fold_sum, gen_primary_key, gen_foreign_key, gen_zipf_cdf, gen_join_test_set,
+        fold_morsels, fanouts, radix_bits_parsed, relation_round_trip, relation_join, measurement_csv, gen_uniform, gen_zipf, gen_lineitem, gen_presets, gen_scaled_presets, gen_payload, gen_selectivity,
     )
 } | {"radix_partition_one_pass": one_pass, "radix_partition_two_pass": two_pass, "dot_product": dot}
 
@@ -177,9 +281,39 @@ _BEFORE = "coalesce(sum(cnt) OVER (PARTITION BY chunk_id ORDER BY partition_id R
 _CONT = f"SELECT *, CAST({PAD} * (partition_id + 1) + coalesce(sum(cnt) OVER (ORDER BY partition_id, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM h"
 _WRAP64 = "CAST((CAST({k} AS HUGEINT) * 11400714819323198485) % 18446744073709551616 // 4503599627370496 AS BIGINT)"
 
+
+
+def _avalanche(x: str, steps: tuple[int, ...], bits: int) -> str:
+    """Murmur3's finalizer as SQL over unsigned integers."""
+    a, f, b, g, c = steps
+    wrap = lambda x, factor: f"({x} * CAST({factor} AS UHUGEINT) % CAST({2**bits} AS UHUGEINT))"
+    fold_ = lambda x, shift: f"xor({x}, {x} >> {shift})"
+    return fold_(wrap(fold_(wrap(fold_(x, a), f), b), g), c)
+
+
 ORACLES = {
     "radix_histogram": f"SELECT CAST(key & 15 AS INTEGER) AS partition_id, count(*) AS cnt FROM ({_REL}) GROUP BY 1",
-    "copy_with_payload": f"SELECT CAST(key & 15 AS INTEGER) AS partition_id, count(*) AS cnt FROM ({_REL}) GROUP BY 1",
+    "copy_with_payload": f"SELECT key, value, CAST(key & 15 AS INTEGER) AS partition_id FROM ({_REL})",
+    "copy_with_payload_counts": f"SELECT CAST(key & 15 AS INTEGER) AS partition_id, count(*) AS cnt FROM ({_REL}) GROUP BY 1",
+    "partition_capacity": f"SELECT CAST(key & 15 AS INTEGER) AS partition_id, count(*) AS len, count(*) + {PAD} AS padded_len, (count(*) + {PAD}) * 16 AS bytes FROM ({_REL}) GROUP BY 1",
+    "murmur3_finalizer": f"""
+        WITH k AS (SELECT pos, key FROM ({_REL})),
+        a AS (SELECT pos, key, {_avalanche('CAST(key AS UHUGEINT)', R.MURMUR_32, 32)} AS x, {_avalanche('CAST(key AS UHUGEINT)', R.MURMUR_64, 64)} AS y FROM k)
+        SELECT pos, CAST(CASE WHEN x >= 2147483648 THEN CAST(x AS HUGEINT) - 4294967296 ELSE CAST(x AS HUGEINT) END AS INTEGER) AS h32,
+               CAST(CASE WHEN y >= 9223372036854775808 THEN CAST(y AS HUGEINT) - 18446744073709551616 ELSE CAST(y AS HUGEINT) END AS BIGINT) AS h64 FROM a""",
+    "fold_morsels": f"SELECT CAST(2 * sum(value) AS BIGINT) AS total FROM ({_REL})",
+    "fanouts": "SELECT range AS bits, 1::BIGINT << range AS fanout FROM range(1, 13)",
+    "radix_bits_parsed": "SELECT * FROM (VALUES ('8', 1::BIGINT, 8::BIGINT, 0::BIGINT, 256::BIGINT), ('8,4', 1, 8, 0, 4096), ('8,4', 2, 4, 8, 4096), ('2,3,4', 1, 2, 0, 512), ('2,3,4', 2, 3, 2, 512), ('2,3,4', 3, 4, 5, 512)) v(text, number, bits, ignored, fanout)",
+    "relation_round_trip": f"SELECT CASE WHEN key % 5 <> 0 THEN key END AS key, value FROM ({_REL})",
+    "relation_join": f"SELECT CAST(sum(o.value) AS BIGINT) AS probe_sum FROM ({_REL}) i JOIN ({_REL}) o ON i.pos = 2 * o.pos",
+    "measurement_csv": "SELECT 'q' || range AS query, range = 0 AS warm_up, CAST(range AS INTEGER) AS run, 0.5::DOUBLE * range AS seconds, 10::BIGINT AS tuples, 20.0::DOUBLE AS tuples_per_second, '1,' || (2 + range) AS threads FROM range(2)",
+    "gen_uniform": "SELECT range AS key, true AS near FROM range(5, 25)",
+    "gen_zipf": "SELECT range AS key, true AS near, CAST(0 AS INTEGER) AS outside FROM range(4)",
+    "gen_lineitem": "SELECT true AS sized, true AS shipdate, true AS discount, true AS quantity, true AS extendedprice",
+    "gen_presets": "SELECT * FROM (VALUES ('kim', 128000000::BIGINT, 128000000::BIGINT), ('blanas', 16777216, 268435456), ('blanas4mb', 524288, 268435456), ('test', 1000, 1000), ('2gib_32gib', 134217728, 2147483648), ('32gib_32gib', 2147483648, 2147483648)) v(name, build_rows, probe_rows)",
+    "gen_scaled_presets": "SELECT 'kim' AS name, CAST(12800::BIGINT * 12801 / 2 AS BIGINT) AS probe_sum UNION ALL SELECT 'blanas', CAST(26843::BIGINT * 26844 / 2 AS BIGINT)",
+    "gen_payload": "SELECT 8000::BIGINT AS n, true AS low, true AS high",
+    "gen_selectivity": "SELECT CAST(p AS INTEGER) AS percent, true AS near FROM (VALUES (0), (30), (100)) v(p)",
     "chunked_histogram": f"WITH {_GRID} SELECT * FROM h",
     "chunked_offsets_padded": f"WITH {_GRID} SELECT *, CAST(chunk_id * ({_SIZED} + {PAD * 16}) + {PAD} * (partition_id + 1) + {_BEFORE} AS BIGINT) AS \"offset\" FROM h",
     "contiguous_offsets_padded": f"WITH {_GRID} {_CONT}",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import SparkSession
+
 from tessera.session import local_session
 from tessera.sources.generators import DataSet, join_input, preset
 from tessera.sources.relations import write_relation
@@ -21,9 +23,12 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--tuple-bytes", type=int, choices=(8, 16), default=16)
     p.add_argument("--kind", choices=("csv", "tsv"), default="tsv")
     p.add_argument("--no-compress", action="store_true")
+    p.add_argument("--payload-below", type=int, help="draw payloads from 0 up to this number instead of numbering them")
     a = p.parse_args(argv)
-    data = DataSet(a.inner, a.outer, a.zipf_exponent) if a.data_set == "custom" else preset(a.data_set, a.tuple_bytes // 2)
-    spark = local_session()
+    payload = (0, a.payload_below) if a.payload_below else None
+    data = DataSet(a.inner, a.outer, a.zipf_exponent, payload=payload) if a.data_set == "custom" else preset(a.data_set, a.tuple_bytes // 2)
+    # Under spark-submit the running session is used; by itself the command opens a local one.
+    spark = SparkSession.getActiveSession() or local_session()
     for name, rows in zip(("inner", "outer"), join_input(spark, data, a.selectivity, a.scale)):
         write_relation(rows, f"{a.out}/{name}", a.kind, not a.no_compress)
 

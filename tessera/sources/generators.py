@@ -10,9 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Longest Zipf alphabet whose distribution function is tabulated on the workers (8 bytes an entry).
-ZIPF_LIMIT = 20_000_000
-
 
 def uniform01(seed: int, *cols: str) -> Column:
     """A number in [0, 1) from 53 bits of the columns' hash."""
@@ -60,19 +57,39 @@ def zipf_cdf(spark: SparkSession, n: int, exponent: float) -> DataFrame:
 
 
 def zipf(spark: SparkSession, rows: int, n: int, exponent: float, seed: int = 4, column: str = "key") -> DataFrame:
-    """pos and a column of integers in [0, n), the smaller the likelier; an exponent of 0 or less is uniform."""
+    """pos and a column of integers in [0, n), the smaller the likelier; an exponent of 0 or less is uniform.
+
+    Ranks are drawn by rejection and inversion of the integral of x ** -exponent, so no table is held whatever n is.
+    The draws of a row follow from its number and the seed.
+    """
     if exponent <= 0:
         return uniform(spark, rows, 0, n, seed, column)
-    if n > ZIPF_LIMIT:
-        raise ValueError(f"alphabets over {ZIPF_LIMIT} are not tabulated: {n}")
+    s = float(exponent)
+    area = (lambda x: np.log(x)) if s == 1 else (lambda x: (x ** (1 - s) - 1) / (1 - s))
+    inverse = (lambda y: np.exp(y)) if s == 1 else (lambda y: (1 + y * (1 - s)) ** (1 / (1 - s)))
+    first, last = area(1.5) - 1, area(n + 0.5)
+    near = 2 - inverse(area(2.5) - 2.0**-s)
+
+    def uniform_of(ids: np.ndarray, k: int) -> np.ndarray:
+        x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + k) % 2**63)
+        for shift in (30, 27, 31):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> np.uint64(11)) / 2.0**53
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cdf = np.cumsum(np.arange(1, n + 1, dtype=np.float64) ** -exponent)
-        cdf /= cdf[-1]
         for f in frames:
-            yield pd.DataFrame({"pos": f["id"], column: np.minimum(np.searchsorted(cdf, f["u"], "right"), n - 1)})
+            ids = f["id"].to_numpy()
+            out, open_, k = np.zeros(len(ids), np.int64), np.arange(len(ids)), 0
+            while len(open_):
+                u = last + uniform_of(ids[open_], k) * (first - last)
+                x = inverse(u)
+                rank = np.clip(np.floor(x + 0.5), 1, n)
+                good = (rank - x <= near) | (u >= area(rank + 0.5) - rank**-s)
+                out[open_[good]] = rank[good].astype(np.int64) - 1
+                open_, k = open_[~good], k + 1
+            yield pd.DataFrame({"pos": ids, column: out})
 
-    return spark.range(rows).select("id", uniform01(seed, "id").alias("u")).mapInPandas(draw, f"pos long, {column} long")
+    return spark.range(rows).mapInPandas(draw, f"pos long, {column} long")
 
 
 def lineitem(spark: SparkSession, scale: float, seed: int = 5) -> DataFrame:
@@ -90,6 +107,8 @@ class DataSet:
     outer: int
     exponent: float = 0.0
     copied: bool = False
+    #: Half-open range that payloads are drawn from; unset, a row's payload is its number from 1.
+    payload: tuple[int, int] | None = None
 
 
 def _bytes(inner: int, outer: int, key_bytes: int) -> DataSet:
@@ -97,25 +116,26 @@ def _bytes(inner: int, outer: int, key_bytes: int) -> DataSet:
 
 
 def preset(name: str, key_bytes: int = 8) -> DataSet:
-    """A named input: kim, blanas, blanas4mb, test, lutz2gv32g or lutz32gv32g."""
+    """A named input: kim, blanas, blanas4mb, test, 2gib_32gib or 32gib_32gib (bytes of both relations)."""
     # Sizes of the named inputs.
     sizes = {
         "kim": DataSet(128 * 10**6, 128 * 10**6),
         "blanas": DataSet(16 * 2**20, 256 * 2**20),
         "blanas4mb": DataSet(512 * 2**10, 256 * 2**20),
         "test": DataSet(1000, 1000, copied=True),
-        "lutz2gv32g": _bytes(2 * 2**30, 32 * 2**30, key_bytes),
-        "lutz32gv32g": _bytes(32 * 2**30, 32 * 2**30, key_bytes),
+        "2gib_32gib": _bytes(2 * 2**30, 32 * 2**30, key_bytes),
+        "32gib_32gib": _bytes(32 * 2**30, 32 * 2**30, key_bytes),
     }
     return sizes[name.lower()]
 
 
 def join_input(spark: SparkSession, data: DataSet, percent: int = 100, scale: float = 1.0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Build and probe relations (pos, key, value = pos + 1) of a data set, sizes times scale."""
+    """Build and probe relations (pos, key, value) of a data set, sizes times scale."""
     inner, outer = max(1, int(data.inner * scale)), max(1, int(data.outer * scale))
     pk = primary_key(spark, inner, percent, seed)
     fk = foreign_key_from_primary(pk, outer, seed + 1) if data.copied else zipf(spark, outer, inner, data.exponent, seed + 2)
-    value = (F.col("pos") + 1).alias("value")
+    low, high = data.payload or (0, 0)
+    value = (F.floor(low + uniform01(seed + 3, "pos") * (high - low)).cast("long") if data.payload else F.col("pos") + 1).alias("value")
     return pk.select("pos", "key", value), fk.select("pos", "key", value)
 
 

@@ -56,7 +56,28 @@ def test_oversized_broadcast_falls_back(spark):
 @pytest.mark.parametrize("scheme", [HashingScheme.PERFECT, HashingScheme.BUCKET_CHAINING])
 def test_radix_join(spark, bits, scheme):
     build, probe = pk_fk(spark, 600)
-    assert radix_join_sum(build, probe, R.RadixBits(bits), scheme).first()[0] == 600 * 601 // 2
+    for placement in ("hash", "by_id", "first_pass", "first_pass_sorted"):
+        assert radix_join_sum(build, probe, R.RadixBits(bits), scheme, placement).first()[0] == 600 * 601 // 2
+
+
+def test_radix_placements_make_one_exchange_a_side(spark):
+    build, probe = pk_fk(spark, 600)
+    for placement, join in (("first_pass", "ShuffledHashJoin"), ("first_pass_sorted", "SortMergeJoin"), ("by_id", "ShuffledHashJoin")):
+        plan = radix_join_sum(build, probe, R.RadixBits((3, 3)), HashingScheme.BUCKET_CHAINING, placement)._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and plan.count("Exchange") == 3  # two sides and the final sum
+    with pytest.raises(ValueError):
+        radix_join_sum(build, probe, R.RadixBits((3,)), placement="elsewhere")
+
+
+def test_build_side_for_several_probes(spark):
+    build, probe = pk_fk(spark, 300)
+    held = HashJoin().table(build)
+    assert held.probe_sum(probe).first()[0] == held.copy(scheme=HashingScheme.PERFECT).probe_sum(probe).first()[0] == 300 * 301 // 2
+    held.free()
+    holes = build.withColumn("key", F.when(F.col("key") > 9, F.col("key")))
+    with pytest.raises(ValueError):
+        HashJoin(validate=True).probe_sum(holes, probe)
+    assert HashJoin(validate=True, selective=True).probe_sum(holes, probe).first()[0] < 300 * 301 // 2
 
 
 @pytest.mark.parametrize("rows,bits", [(15, (4,)), (1000, (0,)), (1001, (5,)), (700, (2, 3))])
@@ -76,8 +97,9 @@ def test_offsets_and_slots_are_disjoint(spark):
     chunk = P.chunk_length(1003, 4, 8)
     last = 1003 - 3 * chunk
     for offsets in (P.chunked_offsets(counts, chunk, 8, 8), P.contiguous_offsets(counts, 8)):
-        slots = P.scatter_slots(rows, offsets)
+        slots = P.scatter_slots(rows, offsets, block=100)
         assert slots.select("slot").distinct().count() == 1003
+        assert slots.exceptAll(P.scatter_slots(rows, offsets)).isEmpty()
     assert last > 0
     assert P.with_chunks(data, 3, 8).agg(F.max("chunk_id")).first()[0] == 7
 
@@ -99,7 +121,7 @@ def test_task_assignment_small(spark):
 def test_hashes_equal_plain_integers(spark):
     keys = [0, 1, 77, 2**31 - 1]
     rows = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = rows.select(R.multiply_shift_32(F.col("k"), 10), R.multiply_shift_64(F.col("k"), 10), R.multiply_shift_64_full(F.col("k"), F.lit(10)), R.murmur3_finalizer_64(F.col("k"))).collect()
+    got = rows.select(R.multiply_shift_32(F.col("k"), 10), R.multiply_shift_64(F.col("k"), 10), R.multiply_shift_64_full(F.col("k"), 10), R.murmur3_finalizer_64(F.col("k"))).collect()
     for k, r in zip(keys, got):
         assert r[0] == (k * R.FACTOR_32 % 2**32) >> 22
         assert r[1] == r[2] == (k * R.FACTOR_64 % 2**64) >> 54
@@ -108,7 +130,16 @@ def test_hashes_equal_plain_integers(spark):
             x = (x ^ (x >> shift)) * factor % 2**64
         x ^= x >> 33
         assert r[3] % 2**64 == x
-    wide = spark.createDataFrame([(-1,), (-(2**63),), (None,)], "k long").select(R.multiply_shift_64_full(F.col("k"), F.lit(8))).collect()
+    for k, r in zip([*keys, -5, 2**63 - 1], spark.createDataFrame([(k,) for k in [*keys, -5, 2**63 - 1]], "k long").select(R.murmur3_finalizer_32(F.col("k"))).collect()):
+        x = k % 2**32
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            x = (x ^ (x >> shift)) * factor % 2**32
+        assert r[0] % 2**32 == x ^ (x >> 16)
+    for factor in (R.FACTOR_64, 2**64 - 1, 3):
+        odd = [-1, -(2**63), 2**63 - 1, 2**32, 2**32 - 1, -(2**33) + 7]
+        got = spark.createDataFrame([(k,) for k in odd], "k long").select(R.wrapped_product(F.col("k"), factor)).collect()
+        assert [r[0] % 2**64 for r in got] == [k * factor % 2**64 for k in odd]
+    wide = spark.createDataFrame([(-1,), (-(2**63),), (None,)], "k long").select(R.multiply_shift_64_full(F.col("k"), 8)).collect()
     assert [r[0] for r in wide] == [(-1 % 2**64 * R.FACTOR_64 % 2**64) >> 56, (2**63 * R.FACTOR_64 % 2**64) >> 56, None]
 
 
@@ -142,6 +173,15 @@ def test_relation_files_round_trip(spark, tmp_path, kind, compress):
     assert back.exceptAll(rows).isEmpty() and back.count() == 300
 
 
+def test_command_writes_both_relations(spark, tmp_path):
+    from tessera.sources import cli
+
+    cli.main([str(tmp_path), "--inner", "100", "--outer", "500", "--kind", "csv", "--no-compress", "--payload-below", "50"])
+    inner, outer = S.read_join(spark, str(tmp_path / "inner"), str(tmp_path / "outer"), sep=",")
+    assert inner.count() == 100 and outer.count() == 500 and outer.agg(F.max("value")).first()[0] < 50
+    assert outer.join(inner.select("key"), "key").count() == 500
+
+
 def test_points_and_harness(spark, tmp_path):
     points = measure(spark, "q", lambda: spark.range(10), repeat=2, tuples=10)
     assert [r.warm_up for r in points.orderBy("run").collect()] == [True, False, False]
