@@ -446,18 +446,62 @@ def test_language_model_beats_word_counts_on_held_out_texts(spark):
 def test_decontamination_finds_changed_slots(spark):
     item = "a train leaves the old station at 12 with 30 passengers on board and then 12 more get on before noon how many ride"
     other = "quite another question about the colours of seven small birds that sing in the morning near the river bank"
-    bench = spark.createDataFrame([(1, item, "x"), (2, other, "x"), (3, item, "x"), (4, None, "x"), (5, "short", "x")], "item_id long, text string, doc_id string")
+    dense = "Compute 12 * 30 + 4 - 6 / 2 + 18 * 5 - 7"
+    sold = "Maria buys nine red apples today. Maria then sells four of them. Maria now counts what is left here."
+    rows = [(1, item), (2, other), (3, item), (4, None), (5, "short"), (6, dense), (7, sold)]
+    bench = spark.createDataFrame([(*r, "x", "y") for r in rows], "item_id long, text string, doc_id string, key string")
     changed = item.replace("12", "17").replace("30", "45")
     mixed = item.replace("at 12", "at 17").replace("then 12", "then 99")
-    texts = [f"before {item} after", f"Before. {changed.upper()}! After", f"x {mixed} y", "nothing of the sort stands in this text at all, nor in others", *EDGE, other[:60]]
+    texts = [
+        f"before {item} after", f"Before. {changed.upper()}! After", f"x {mixed} y", "nothing of the sort stands in this text at all, nor in others", *EDGE, other[:60],
+        f"So: {dense}!", sold.replace("Maria", "Jonas"), sold.upper(), sold.lower(), sold.replace("sells", "gives").replace("Maria now", "Peter now"), "Short", "a short text", "Compute 11 * 31 + 5 - 7 / 3 + 19 * 6 - 8", "1 2 3 " * 400_000, "word " * 200_000,
+    ]
     frame = docs(spark, texts)
+    n = 4 + len(EDGE) + 1
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame, bench).collect()}
-    assert set(got) == {(0, 1), (1, 1)}
+    want = {(0, 1), (0, 3), (1, 1), (1, 3), (n, 6), (n + 1, 7), (n + 2, 7), (n + 3, 7), (n + 5, 5)}
+    assert set(got) - {(2, 1), (2, 3), (n + 4, 7)} == want
     assert got[0, 1].changed == 0 and got[1, 1].changed == got[1, 1].slots > 0
+    assert got[n + 1, 7].changed == 3 and got[n + 2, 7].changed == 0 and got[n, 6].changed == 0
+    leaking = {d for d, _ in got}
     kept = decontaminate.decontaminate(frame, bench)
-    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(range(2, len(texts)))
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - leaking
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0 and decontaminate.leaks(frame.limit(0), bench).count() == 0
-    assert decontaminate.decontaminate(frame.union(frame), bench).count() == 2 * (len(texts) - 2)
+    assert decontaminate.decontaminate(frame.union(frame), bench).count() == 2 * (len(texts) - len(leaking))
+    # Rows without an id are judged by their texts; of one id with two texts only the leaking one goes.
+    loose = docs(spark, [item, "clean words only"]).withColumn("doc_id", F.lit(None).cast("long")).union(docs(spark, [other, "other clean words"]).withColumn("doc_id", F.lit(0).cast("long")))
+    assert {(r.doc_id, r.text) for r in decontaminate.decontaminate(loose, bench).collect()} == {(None, "clean words only"), (0, "other clean words")}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(loose, bench).collect()} == {(None, 1), (None, 3), (0, 2)}
+
+
+def test_decontamination_equals_its_sql_on_slots(spark, tmp_path, monkeypatch):
+    """Items with numbers, names and units, documents with some of them changed: Spark against the SQL, joined both ways."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", "a", "red", "sells", "then", "boxes", "Anna", "Bob", "Lea", "12", "3.5", "40", "kg", "km", "days"] + [f"w{chr(97 + rng.randrange(26))}"] * 9)
+    items = [" ".join(word() for _ in range(rng.randrange(3, 50))) for _ in range(40)]
+    items += [items[0], items[1].replace("12", "13"), items[2]]
+
+    def edit(text):
+        out = text.split()
+        swaps = {a: rng.choice(["12", "77", "9", "Max", "Eva"]) for a in ("12", "40", "Anna", "Bob")}
+        if rng.random() < 0.6:
+            out = [swaps.get(w, w) for w in out]
+        for _ in range(rng.randrange(3)):
+            out[rng.randrange(len(out))] = word()
+        return " ".join(out).upper() if rng.random() < 0.1 else " ".join(out)
+
+    texts = [" ".join([*(word() for _ in range(rng.randrange(20))), edit(rng.choice(items)), *(word() for _ in range(rng.randrange(20)))]) for _ in range(150)] + [None, "", "short"]
+    frame, bench = docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    frame.select("doc_id", "text").write.parquet(str(tmp_path / "documents"))
+    bench.write.parquet(str(tmp_path / "benchmark"))
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    want = sorted(c.execute(decontaminate.oracle_sql()).fetchall())
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+        got = sorted(tuple(r) for r in decontaminate.leaks(frame, bench).collect())
+        assert got == want and sum(r[5] > 0 for r in got) > 5 and len(got) > 50
 
 
 def test_decontamination_holds_each_item_of_a_template(spark):
@@ -465,7 +509,7 @@ def test_decontamination_holds_each_item_of_a_template(spark):
     other = item.replace("5 green", "6 green")
     bench = spark.createDataFrame([(3, item), (7, other), (9, other)], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.changed) for r in decontaminate.leaks(docs(spark, [item, other]), bench).collect()}
-    assert {(0, 3, 0), (1, 7, 0)} <= got
+    assert {(0, 3, 0), (1, 7, 0), (1, 9, 0)} <= got
 
 
 def test_decontamination_counts_each_place_of_an_item_once(spark):
