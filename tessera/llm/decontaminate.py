@@ -20,6 +20,8 @@ from tessera.llm.shared import written
 WINDOW, LITERAL = 8, 5
 #: An item counts as leaked when so many of its words, or this share of them, are covered by consistent matches.
 COVERED, SHARE = 24, 0.5
+#: Windows in one part of a text.
+PART = 64
 #: Benchmark windows up to this number are broadcast (about 40 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -80,10 +82,16 @@ def _exact(at: Column, words: str = "words") -> Column:
 
 
 def _document_windows(rows: DataFrame, *ids: str) -> DataFrame:
-    """(ids, pos, key) of every window of every text, one key each."""
-    rows = rows.select(*ids, "words", F.transform("words", lambda w: F.xxhash64(_template(w))).alias("h"))
-    keys = F.transform(_starts(), lambda i: F.when(_enough(i), F.xxhash64(F.slice("h", i, WINDOW))).otherwise(_exact(i)))
-    return rows.select(*ids, F.posexplode(keys).alias("pos", "key"))
+    """(ids, base, part, at_part, key) of every window of every text, one key each.
+
+    Texts are cut into parts of PART windows, so a window's row carries few words of its text, however long that is.
+    """
+    bases = F.sequence(F.lit(1), F.greatest(F.size("words") - WINDOW + 1, F.lit(1)), F.lit(PART))
+    cut = F.transform(bases, lambda b: F.struct((b - 1).alias("base"), F.slice("words", b, PART + WINDOW - 1).alias("part")))
+    rows = rows.select(*ids, F.inline(cut))
+    rows = rows.select(*ids, "base", "part", F.transform("part", lambda w: F.xxhash64(_template(w))).alias("h"))
+    keys = F.transform(_starts("part"), lambda i: F.when(_enough(i, "part"), F.xxhash64(F.slice("h", i, WINDOW))).otherwise(_exact(i, "part")))
+    return rows.select(*ids, "base", "part", F.posexplode(keys).alias("place", "key"))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
@@ -111,20 +119,17 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
     rows = _identified(docs)
     met = _document_windows(_words(rows, "id", "hash"), "id", "hash").join(known, "key")
-    met = written(met.select("id", "hash", "item", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct(), "met")
+    met = met.select("id", "hash", "item", (F.col("base") + F.col("place") - F.col("at")).alias("shift"), "at", F.slice("part", F.col("place") + 1, WINDOW).alias("words"))
+    met = written(met.distinct(), "met")
     runs = met.groupBy(*run).agg(F.collect_set("at").alias("ats"))
 
-    # Slots: only documents with a match are folded again.
-    marked = lambda rows, ids, place, value: rows.select(*ids, F.posexplode("words").alias(place, value))
-    asked = marked(members, ["item"], "at", "asked").filter(F.col("asked").startswith("§"))
-    again = _words(rows.join(met.select("id", "hash").distinct(), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]), "id", "hash")
-    open_ = runs.join(asked, "item").filter(F.col("at") >= F.array_min("ats")).filter(F.col("at") < F.array_max("ats") + WINDOW)
-    inside = F.exists("ats", lambda a: (F.col("at") >= a) & (F.col("at") < a + WINDOW))
-    open_ = open_.select(*run, (F.col("at") + F.col("shift")).alias("pos"), "at", "asked", inside.alias("inside"))
-    said = open_.join(marked(again, ["id", "hash"], "pos", "said"), ["id", "hash", "pos"])
+    # Slots: the placeholders of each matched window against the words that stand there in the document.
+    asked = members.select("item", F.posexplode("words").alias("at", "asked")).filter(F.col("asked").startswith("§"))
+    words = met.select(*run, F.posexplode("words").alias("k", "said"), "at").select(*run, (F.col("at") + F.col("k")).alias("at"), "said").distinct()
+    said = words.join(asked, ["item", "at"])
     kind, mine, theirs = F.substring("asked", 1, 2), _value(F.col("asked")), _value(F.col("said"))
-    said = said.filter((kind == F.substring("said", 1, 2)) | (mine == theirs)).select(*run, "at", "inside", kind.alias("kind"), mine.alias("asked"), theirs.alias("said"))
-    pairs = said.groupBy(*run, "kind", "asked", "said").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("inside"), F.col("at"))).alias("places"))
+    said = said.filter((kind == F.substring("said", 1, 2)) | (mine == theirs)).select(*run, "at", kind.alias("kind"), mine.alias("asked"), theirs.alias("said"))
+    pairs = said.groupBy(*run, "kind", "asked", "said").agg(F.count("*").alias("n"), F.collect_list("at").alias("places"))
     # A value that several others stand for goes with the most frequent one, if one is; the item's own value fits anyhow.
     most = F.array_max(F.transform("ways", lambda w: F.size(w.places)))
     clear = F.size(F.filter("ways", lambda w: F.size(w.places) == F.col("most"))) == 1
@@ -151,7 +156,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Leaked pairs: doc_id, item_id, covered (places of the item under consistent matches, each once), item_words, slots, changed.
 
-    slots counts aligned placeholders and changed those with another value, so changed > 0 is a re-parameterised
+    slots counts placeholders under matched windows and changed those with another value, so changed > 0 is a re-parameterised
     question. Each item of a template is held against the document by its own values; items with the same words are
     reported each. An item under WINDOW words is found where it is a document's whole text. Null and empty texts take
     no part, very long ones are read whole. Rows with one doc_id and different texts are judged one by one, and the pair's
@@ -190,6 +195,7 @@ def oracle_sql() -> str:
     template = "CASE WHEN starts_with(w, '§') THEN substring(w, 1, 2) ELSE w END"
     named = f"CASE WHEN starts_with(w, '§a') THEN substring(w, 3) ELSE {template} END"
     value = "CASE WHEN starts_with(w, '§') THEN substring(w, 3) ELSE w END"
+    held = "CASE WHEN starts_with(said, '§') THEN substring(said, 3) ELSE said END"
 
     def windows(rows: str, key: str, place: str) -> str:
         line = lambda kind, mark: f"'{mark}' || array_to_string(list_transform(part, lambda w: {kind}), ' ')"
@@ -207,18 +213,17 @@ def oracle_sql() -> str:
         known AS (SELECT item, spot, exact AS key FROM w UNION SELECT item, spot, open FROM w WHERE enough UNION SELECT item, spot, spelled FROM w WHERE plain),
         met AS (SELECT DISTINCT doc_id, item, pos - spot AS shift, spot
                 FROM (SELECT doc_id, pos, CASE WHEN enough THEN open ELSE exact END AS key FROM ({windows('texts', 'doc_id', 'pos')})) JOIN known USING (key)),
-        runs AS (SELECT doc_id, item, shift, min(spot) AS first, max(spot) + {WINDOW} AS last FROM met GROUP BY ALL),
         asked AS (SELECT * FROM (SELECT item, unnest(words) AS asked, unnest(range(0, len(words))) AS spot FROM items) WHERE starts_with(asked, '§')),
         said AS (SELECT doc_id, unnest(words) AS said, unnest(range(0, len(words))) AS pos FROM texts WHERE doc_id IN (SELECT doc_id FROM met)),
+        covering AS (SELECT DISTINCT doc_id, item, shift, spot + unnest(range(0, least({WINDOW}, item_words))) AS spot FROM met JOIN items USING (item)),
         slots AS (
-            SELECT r.doc_id, r.item, r.shift, a.spot, substring(asked, 1, 2) AS kind, substring(asked, 3) AS asked, {value.replace('(w,', '(said,').replace('ELSE w', 'ELSE said')} AS said,
-                   EXISTS (SELECT 1 FROM met m WHERE m.doc_id = r.doc_id AND m.item = r.item AND m.shift = r.shift AND a.spot >= m.spot AND a.spot < m.spot + {WINDOW}) AS inside
-            FROM runs r JOIN asked a ON a.item = r.item AND a.spot >= first AND a.spot < last
-            JOIN said s ON s.doc_id = r.doc_id AND s.pos = a.spot + r.shift AND (substring(asked, 1, 2) = substring(said, 1, 2) OR substring(asked, 3) = {value.replace('(w,', '(said,').replace('ELSE w', 'ELSE said')})),
-        ways AS (SELECT doc_id, item, shift, kind, asked, said, count(*) FILTER (WHERE inside) AS m FROM slots GROUP BY ALL),
+            SELECT doc_id, item, shift, spot, substring(asked, 1, 2) AS kind, substring(asked, 3) AS asked, {held} AS said
+            FROM covering JOIN asked USING (item, spot) JOIN said USING (doc_id)
+            WHERE pos = spot + shift AND (substring(asked, 1, 2) = substring(said, 1, 2) OR substring(asked, 3) = {held})),
+        ways AS (SELECT doc_id, item, shift, kind, asked, said, count(*) AS m FROM slots GROUP BY ALL),
         ranked AS (SELECT *, max(m) OVER (PARTITION BY doc_id, item, shift, kind, asked) AS most FROM ways),
         judged AS (SELECT *, said = asked OR (m = most AND count(*) FILTER (WHERE m = most) OVER (PARTITION BY doc_id, item, shift, kind, asked) = 1) AS fits FROM ranked),
-        odd AS (SELECT s.doc_id, s.item, s.shift, s.spot FROM slots s JOIN judged j USING (doc_id, item, shift, kind, asked, said) WHERE inside AND NOT fits),
+        odd AS (SELECT s.doc_id, s.item, s.shift, s.spot FROM slots s JOIN judged j USING (doc_id, item, shift, kind, asked, said) WHERE NOT fits),
         kept AS (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM odd o WHERE o.doc_id = m.doc_id AND o.item = m.item AND o.shift = m.shift AND o.spot >= m.spot AND o.spot < m.spot + {WINDOW})),
         counted AS (
             SELECT r.doc_id, r.item, count(s.spot) AS slots, count(s.spot) FILTER (WHERE s.said <> s.asked) AS changed
