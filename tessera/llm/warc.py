@@ -28,6 +28,8 @@ SPLIT = 8 << 20
 CHUNK = 1 << 20
 #: Bytes given to the decoder at first; most records end within.
 PEEK = 16 << 10
+#: Payloads of several pages up to this number are broadcast (about 60 bytes each); more are joined in SALT parts each.
+BROADCAST_OWNERS, SALT = 500_000, 32
 MAGIC = b"\x1f\x8b\x08"
 _HEADER = b"WARC/1."
 
@@ -69,16 +71,24 @@ def encode_record(page_id: int, url: str | None, payload: bytes, payload_digest:
 
 
 def decode_record(data: bytes) -> dict:
+    """The fields of any WARC record. Header names count in any case; what a record lacks is null.
+
+    The payload is what follows the HTTP header in records of type application/http, else the whole block. Digest and
+    length are taken from it; a revisit has none, so its own header gives both.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    block = rest[: int(fields["Content-Length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    kind = fields["WARC-Type"]
-    whole = kind == "response"
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    number = lambda name: int(fields[name]) if fields.get(name, "").lstrip("-").isdigit() else None
+    block = rest[: number("content-length") or 0]
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    kind = fields.get("warc-type")
+    whole = kind != "revisit"
+    named = fields.get("warc-payload-digest")
     return {
-        "page_id": int(fields["X-Page-ID"]), "record_id": fields["WARC-Record-ID"], "record_type": kind, "target_uri": fields.get("WARC-Target-URI"),
-        "payload_digest": base32_sha1(payload) if whole else fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "refers_to": None if whole else int(fields["X-Refers-To-Page"]), "payload_bytes": len(payload) if whole else int(fields["X-Payload-Length"]), "payload": payload if whole else None,
+        "page_id": number("x-page-id"), "record_id": fields.get("warc-record-id"), "record_type": kind, "target_uri": fields.get("warc-target-uri"),
+        "payload_digest": base32_sha1(payload) if whole else named and named.removeprefix("sha1:"),
+        "refers_to": None if whole else number("x-refers-to-page"), "payload_bytes": len(payload) if whole else number("x-payload-length"), "payload": payload if whole else None,
     }
 
 
@@ -103,19 +113,25 @@ def _writer(folder: str):
     return run
 
 
-def planned_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def planned_records(pages: DataFrame, least_bytes: int = 0, broadcast_owners: int = BROADCAST_OWNERS) -> DataFrame:
     """page_id, url, html, payload_digest, payload_bytes and refers_to of each page's record.
 
     Of pages with equal payloads of at least least_bytes bytes the one with the largest page_id is the response. A null html is an empty payload.
-    Digests that occur once never leave their task with a partner: only digests of several pages are joined, and a
-    digest that many pages share is one row on the other side of that join.
+    Only digests of several pages are joined; a digest that many pages share is one row on the other side of that join.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     # The hexadecimal digest is regrouped by five bits: two digits are eight bits, five bytes eight letters.
     rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     owners = pages.select("page_id", F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).alias("n")).filter(F.col("n") >= least_bytes)
     owners = owners.groupBy("sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("many")).filter("many > 1").select("sha", "owner")
-    rows = rows.join(owners, "sha", "left")
+    # Owners are few where most payloads are unique: then no page is moved. Else owners and rows are salted, since one
+    # payload may be shared by any number of pages.
+    owners = written(owners, "owners")
+    if owners.count() <= broadcast_owners:
+        rows = rows.join(F.broadcast(owners), "sha", "left")
+    else:
+        owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALT))).join(owners, ["sha", "salt"], "left").drop("salt")
     revisit = (F.col("payload_bytes") >= least_bytes) & (F.col("page_id") < F.col("owner"))
     return rows.select("page_id", "url", "html", _base32(F.col("sha")).alias("payload_digest"), "payload_bytes", F.when(revisit, F.col("owner")).alias("refers_to"))
 
@@ -141,8 +157,8 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
     return written(rows.mapInArrow(_writer(folder), "file string, bytes long, records long"), "warc-list")
 
 
-def _member(read, start: int, size: int, first: bytes) -> bytes | None:
-    """The member that begins at `start`, or None if none begins there. `first` holds the bytes that are there already."""
+def _member(read, start: int, size: int, first: bytes) -> tuple[bytes, int] | None:
+    """The member that begins at `start` and where it ends, or None if no whole one begins there. `first` holds the bytes that are there already."""
     unpack = zlib.decompressobj(31)
     try:
         head = unpack.decompress(first, 16)
@@ -163,7 +179,31 @@ def _member(read, start: int, size: int, first: bytes) -> bytes | None:
             parts.append(unpack.decompress(more))
     except zlib.error:
         return None
-    return b"".join(parts) if unpack.eof else None
+    return (b"".join(parts), at - len(unpack.unused_data)) if unpack.eof else None
+
+
+def plain_records_in(read, size: int, first: int, last: int) -> Iterator[tuple[int, bytes]]:
+    """As records_in, for archives that are not compressed. A record must have a type and a length, and what follows it
+    must be another record or the file's end, so a version line within a payload is passed over."""
+    at = first
+    while at < last:
+        data = read(at, min(CHUNK, size - at))
+        k = data.find(_HEADER)
+        if k < 0 or at + k >= last:
+            if k >= 0 or at + len(data) >= size:
+                return
+            at += max(len(data) - len(_HEADER) + 1, 1)
+            continue
+        at += k
+        head = read(at, min(PEEK, size - at)).partition(b"\r\n\r\n")[0]
+        length = re.search(rb"(?im)^content-length:\s*([0-9]+)\s*$", head.replace(b"\r\n", b"\n"))
+        end = at + len(head) + 4 + int(length[1]) if length and re.search(rb"(?im)^warc-type:", head) else size + 1
+        tail = read(end, min(4 + len(_HEADER), size - end)) if end <= size else b"?"
+        if tail in (b"", b"\r\n\r\n") or tail == b"\r\n\r\n" + _HEADER:
+            yield at, read(at, end - at)
+            at = end
+        else:
+            at += 1
 
 
 def records_in(read, size: int, first: int, last: int) -> Iterator[tuple[int, bytes]]:
@@ -182,11 +222,16 @@ def records_in(read, size: int, first: int, last: int) -> Iterator[tuple[int, by
             if k < 0 or at + k >= last:
                 break
             found = _member(read, at + k, size, data[k : k + PEEK])
-            if found is not None:
-                yield at + k, found
-            k += 1
+            if found is None:
+                k += 1
+                continue
+            yield at + k, found[0]
+            # What lies within a record is no other's start.
+            k = found[1] - at
+            if k >= len(data):
+                break
         # A magic may lie across the edge of two reads.
-        at += max(len(data) - len(MAGIC) + 1, 1) if at + len(data) < size else len(data)
+        at = max(at + k, at + max(len(data) - len(MAGIC) + 1, 1) if at + len(data) < size else at + len(data))
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +242,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, path = _files(part["file"])
             with store.open_input_file(path) as f:
                 held, many = [], 0
-                for position, data in records_in(lambda at, n: f.read_at(n, at), part["bytes"], part["first"], part["last"]):  # noqa: B023
+                packed = f.read_at(len(MAGIC), 0) == MAGIC
+                for position, data in (records_in if packed else plain_records_in)(lambda at, n: f.read_at(n, at), part["bytes"], part["first"], part["last"]):  # noqa: B023
                     held.append(decode_record(data) | {"file": part["file"], "position": position})
                     many += len(data)
                     if many > 4 * CHUNK:
@@ -210,7 +256,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> DataFrame:
     """All records of the files (file, bytes): page_id, record_id, record_type, target_uri, payload_digest, refers_to,
     payload_bytes, payload (null for revisits), file and position. Digest and length of a response are taken from the
-    payload that was read. An empty list gives no rows."""
+    payload that was read. Archives of other makers are read as well, compressed by record or not: a field that a record
+    lacks is null, and a record that is cut off or not a record is left out. An empty list gives no rows."""
     first = F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("first")
     parts = files.filter("bytes > 0").select("file", "bytes", first).withColumn("last", F.least(F.col("first") + split, "bytes"))
     # One range a task, near enough: ranges are dealt out evenly.
