@@ -76,6 +76,7 @@ def arrow_limits(spark: SparkSession) -> None:
     """Smaller batches than Spark's 10,000 rows, so that long texts fit in a Python worker."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
 
 def release() -> None:

@@ -36,10 +36,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and x = floor(scale * component) of every vector that is not null and holds no null or non-finite part."""
+    """vec_id and x = floor(scale * component) of every vector that is not null and holds no null or non-finite part.
+
+    Components so large that a product sum might leave 64 bits raise an error: no score is wrong silently.
+    """
     parts = F.col("embedding").cast("array<double>")
     good = F.col("vec_id").isNotNull() & parts.isNotNull() & ~F.exists(parts, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.filter(good).select("vec_id", F.transform(parts, lambda x: F.floor(x * scale).cast("long")).alias("x"))
+    most = F.sqrt(F.lit(2.0**62) / F.greatest(F.size(parts), F.lit(1)))
+    wide = F.raise_error(F.lit("a component is too large for exact scores of 64 bits")).cast("array<bigint>")
+    whole = F.transform(parts, lambda x: F.floor(x * scale).cast("long"))
+    return vectors.filter(good).select("vec_id", F.when(F.exists(parts, lambda x: F.abs(x * scale) >= most - 1), wide).otherwise(whole).alias("x"))
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +79,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks()
         x = _matrix(t["x"].chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64())))
         cut = lambda v, kind: pa.array([v], kind)
-        return pa.RecordBatch.from_arrays([cut(t["d"][0].as_py(), pa.int64()), cut(t["block"][0].as_py(), pa.int64()), cut(t["vec_id"].to_numpy().astype("<i8").tobytes(), pa.binary()), cut(x.astype("<i8").tobytes(), pa.binary())], ["d", "block", "ids", "x"])
+        return pa.RecordBatch.from_arrays([cut(t["d"][0].as_py(), pa.int64()), cut(t["block"][0].as_py(), pa.int64()), cut(t["vec_id"].to_numpy().astype("<i8").tobytes(), pa.binary()), cut(x.astype("<i8").tobytes(), pa.binary()), cut(float(np.sqrt((x.astype(np.float64) ** 2).sum(1)).max(initial=0)), pa.float64())], ["d", "block", "ids", "x", "longest"])
 
     held: list[pa.RecordBatch] = []
     key = None
@@ -115,7 +121,7 @@ def _blocks(rows: DataFrame, size: int, salted: bool) -> DataFrame:
         rows = rows.join(F.broadcast(sizes.select("d", "class", first.alias("first"), spread.alias("spread"))), ["d", "class"])
         rows = rows.withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("spread")))
     rows = rows.select("vec_id", "x", "d", "block")
-    return rows.repartition("d", "block").sortWithinPartitions("d", "block").mapInArrow(_packed, "d long, block long, ids binary, x binary")
+    return rows.repartition("d", "block").sortWithinPartitions("d", "block").mapInArrow(_packed, "d long, block long, ids binary, x binary, longest double")
 
 
 def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,33 +199,44 @@ def _search(sent, k: int):
     return run
 
 
-def top_products(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
+def top_products(queries: DataFrame, candidates: DataFrame, k: int = 5, candidate_rows: int = CANDIDATES, query_rows: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products, ties to the smaller id.
 
     Both tables hold vec_id and x (lists of integers). A query is not its own candidate; a repeated vec_id is a
     candidate once for each of its different vectors. Only vectors of one dimension meet; without other vectors a
-    query has no rows, and an empty table gives none. Query blocks meet candidate blocks by an equi-join on the block
-    number; neither side is broadcast or gathered.
+    query has no rows, and an empty table gives none. Every query block meets the first candidate block of its
+    dimension, which is sent to all tasks (candidate_rows vectors); the scores found are its thresholds. Later block
+    pairs are compared by their longest vectors first, as rows of a few numbers; only those that can hold a better
+    score bring their vectors together.
     """
     spark = candidates.sparkSession
     arrow_limits(spark)
     rotations = _rotations(candidates)
     sent = spark.sparkContext.broadcast(rotations)
-    c = written(_blocks(candidates.distinct(), CANDIDATES, False), "blocks")
-    q = written(_blocks(queries.distinct(), QUERIES, True).select("d", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q")), "queries")
+    c = written(_blocks(candidates.distinct(), candidate_rows, False), "blocks")
+    q = written(_blocks(queries.distinct(), query_rows, True).select("d", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.col("longest").alias("q_longest")), "queries")
     numbers = c.select("d", "block").distinct()
     first = numbers.groupBy("d").agg(F.min("block").alias("block"))
     none = F.lit(None).cast("array<struct<query_id:long,score:long>>")
-    opening = q.join(first, "d").join(c, ["d", "block"]).withColumn("floor", none)
-    opening = written(opening.mapInArrow(_search(sent, k), _FOUND), "opening")
+    heads = c.join(F.broadcast(first), ["d", "block"])
+    # One block for each dimension: of few dimensions all are sent, of many they are joined.
+    opening = q.join(F.broadcast(heads) if len(rotations) <= 16 else heads, "d").withColumn("floor", none)
+    opening = written(opening.select("d", "q_ids", "q", "ids", "x", "floor").mapInArrow(_search(sent, k), _FOUND), "opening")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     nth = opening.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") == k).select("d", "query_id", "score")
     # Thresholds travel with their query block: at most QUERIES of them each.
-    blocks = queries.select(F.col("vec_id").alias("query_id")).distinct().withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERIES)))))
+    blocks = queries.select(F.col("vec_id").alias("query_id")).distinct().withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.distinct().count() // query_rows)))))
     floors = nth.join(blocks, "query_id").groupBy("d", "q_block").agg(F.collect_list(F.struct("query_id", "score")).alias("floor"))
     later = numbers.join(first.withColumnRenamed("block", "least"), "d").filter("block > least").select("d", "block")
-    pairs = q.join(floors, ["d", "q_block"], "left").join(later, "d").join(c, ["d", "block"])
-    pairs = pairs.repartition(F.xxhash64("d", "block", "q_block"))
+    # The least threshold of a block holds only where every one of its queries has one.
+    reach = q.select("d", "q_block", "q_longest", (F.octet_length("q_ids") / 8).alias("many")).join(floors, ["d", "q_block"], "left")
+    least = F.when(F.size("floor") == F.col("many"), F.array_min(F.transform("floor", lambda f: f.score)))
+    reach = reach.select("d", "q_block", "q_longest", least.alias("least_score"))
+    numbers = c.join(later, ["d", "block"], "left_semi").select("d", "block", "longest")
+    bound = F.col("q_longest") * F.col("longest") * (1 + 2 * SLACK) + 1
+    near = reach.join(numbers, "d").filter(F.col("least_score").isNull() | (bound >= F.col("least_score"))).select("d", "q_block", "block")
+    pairs = near.join(q.drop("q_longest"), ["d", "q_block"]).join(floors, ["d", "q_block"], "left").join(c.drop("longest"), ["d", "block"])
+    pairs = pairs.repartition(F.xxhash64("d", "block", "q_block")).select("d", "q_ids", "q", "ids", "x", "floor")
     rest = pairs.mapInArrow(_search(sent, k), _FOUND)
     found = opening.union(rest).dropDuplicates().withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

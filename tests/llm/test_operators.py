@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or held-out accuracy, with nulls, empty and long texts, ties and repeats."""
 
 import collections
+import gzip
 import itertools
 import math
 import os
@@ -285,6 +286,36 @@ def test_warc_edges(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def foreign(kind, block, **more):
+    lines = ["WARC/1.0", f"warc-type: {kind}", "WARC-Record-ID: <urn:x>", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"content-length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_reads_other_archives(spark, tmp_path, packed):
+    """Records of other makers, some with look-alikes of a record's start in their payloads; the last one is cut off."""
+    inner = foreign("response", b"inner")
+    blocks = [("warcinfo", b"software: x", {}), ("request", b"GET / HTTP/1.1\r\n\r\n", {"Content_Type": "application/http; msgtype=request"}), ("response", b"HTTP/1.1 200 OK\r\n\r\n<p>" + gzip.compress(inner) + b"WARC/1.0 " + b"x" * 5000, {"Content_Type": "application/http"}), ("revisit", b"", {"WARC_Payload_Digest": "sha1:ABC"}), ("resource", b"", {})]
+    records = [foreign(kind, block, **more) for kind, block, more in blocks]
+    parts = [gzip.compress(r) if packed else r for r in [*records, foreign("response", b"z" * 400)]]
+    blob = b"".join(parts)[:-200 if not packed else -10]
+    path = tmp_path / "a.warc"
+    path.write_bytes(blob)
+    files = spark.createDataFrame([(f"file://{path}", len(blob))], "file string, bytes long")
+    for split in (100, 10**6):
+        got = sorted(warc.read_warc(spark, files, split).collect(), key=lambda r: r.position)
+        assert [r.record_type for r in got] == [k for k, _, _ in blocks]
+        assert [None if r.payload is None else bytes(r.payload) for r in got] == [b"software: x", b"", blocks[2][1].partition(b"\r\n\r\n")[2], None, b""]
+        assert got[3].payload_digest == "ABC" and {r.page_id for r in got} == {None}
+
+
+def test_warc_one_payload_of_many_pages(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 4 > 0, "same").otherwise(F.col("id").cast("string")).alias("html"))
+    for limit in (10, 0):
+        rows = warc.planned_records(pages, broadcast_owners=limit).collect()
+        assert len(rows) == 400 and sum(r.refers_to == 399 for r in rows) == 299 and sum(r.refers_to is None for r in rows) == 101
+
+
 def test_warc_reader_owns_each_record_once():
     fake = b"\x1f\x8b\x08" + bytes(range(200))
     members = [warc.encode_record(k, "u", os.urandom(50 * k) + fake, warc.base32_sha1(b""), 10, None) for k in range(12)]
@@ -295,6 +326,26 @@ def test_warc_reader_owns_each_record_once():
         assert len(found) == 12 and len(set(found)) == 12
 
 
+def test_topk_over_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    lengths = np.exp(rng.normal(0, 1.2, 400))[:, None]
+    x = np.floor(rng.normal(0, 200, (400, 24)) * lengths).astype(int)
+    x[350:] = x[:50]  # ties
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, x array<long>")
+    for sizes in ((40, 8), (64, 1000), (7, 3)):
+        got = collections.defaultdict(list)
+        for r in topk.top_products(frame.filter("vec_id % 10 = 0"), frame, candidate_rows=sizes[0], query_rows=sizes[1]).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        for q in range(0, 400, 10):
+            assert got[q] == [(c, -s) for s, c in sorted((-int(x[q] @ x[c]), c) for c in range(400) if c != q)[:5]]
+
+
+def test_topk_refuses_what_it_cannot_score(spark):
+    frame = spark.createDataFrame([(0, [1e18]), (50, [1e18])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.integer_vectors(frame).collect()
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     vectors = [(k, [float(x) for x in rng.integers(-3, 4, 20) / 4], 0) for k in range(120)]
