@@ -45,7 +45,9 @@ def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     most = F.sqrt(F.lit(2.0**62) / F.greatest(F.size(parts), F.lit(1)))
     wide = F.raise_error(F.lit("a component is too large for exact scores of 64 bits")).cast("array<bigint>")
     whole = F.transform(parts, lambda x: F.floor(x * scale).cast("long"))
-    return vectors.filter(good).select("vec_id", F.when(F.exists(parts, lambda x: F.abs(x * scale) >= most - 1), wide).otherwise(whole).alias("x"))
+    # A generator stands between the steps, so that the integers are made once.
+    rows = vectors.filter(good).select("vec_id", F.explode(F.array(whole)).alias("x"), most.alias("most"))
+    return rows.select("vec_id", F.when(F.greatest(F.array_max("x"), -F.array_min("x")) >= F.col("most") - 1, wide).otherwise(F.col("x")).alias("x"))
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +213,11 @@ def top_products(queries: DataFrame, candidates: DataFrame, k: int = 5, candidat
     """
     spark = candidates.sparkSession
     arrow_limits(spark)
+    candidates, queries = written(candidates.distinct(), "vectors"), written(queries.distinct(), "asked")
     rotations = _rotations(candidates)
     sent = spark.sparkContext.broadcast(rotations)
-    c = written(_blocks(candidates.distinct(), candidate_rows, False), "blocks")
-    q = written(_blocks(queries.distinct(), query_rows, True).select("d", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.col("longest").alias("q_longest")), "queries")
+    c = written(_blocks(candidates, candidate_rows, False), "blocks")
+    q = written(_blocks(queries, query_rows, True).select("d", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.col("longest").alias("q_longest")), "queries")
     numbers = c.select("d", "block").distinct()
     first = numbers.groupBy("d").agg(F.min("block").alias("block"))
     none = F.lit(None).cast("array<struct<query_id:long,score:long>>")
@@ -225,7 +228,7 @@ def top_products(queries: DataFrame, candidates: DataFrame, k: int = 5, candidat
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     nth = opening.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") == k).select("d", "query_id", "score")
     # Thresholds travel with their query block: at most QUERIES of them each.
-    blocks = queries.select(F.col("vec_id").alias("query_id")).distinct().withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.distinct().count() // query_rows)))))
+    blocks = queries.select(F.col("vec_id").alias("query_id")).distinct().withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // query_rows)))))
     floors = nth.join(blocks, "query_id").groupBy("d", "q_block").agg(F.collect_list(F.struct("query_id", "score")).alias("floor"))
     later = numbers.join(first.withColumnRenamed("block", "least"), "d").filter("block > least").select("d", "block")
     # The least threshold of a block holds only where every one of its queries has one.
