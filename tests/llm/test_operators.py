@@ -598,3 +598,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in now.collect()}
     twice = docs(spark, ["some clean words of text here"] * 3).select(frame.columns)
     assert corpus_pipeline.one_of_each(spark, twice.union(twice), DATA).count() == 1
+
+
+@needs_data
+def test_pipeline_edges(spark):
+    """Stages over null ids and texts, blanks, repeats, a long text and clashing columns; then over no rows at all."""
+    import corpus_pipeline
+
+    frame = docs(spark, [*EDGE, "some clean words of text here", "some clean words of text here", "word " * 100_000])
+    frame = frame.union(frame.filter("doc_id = 7")).union(frame.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    for stage in (corpus_pipeline.one_of_each, corpus_pipeline.drop_leaks):
+        out = stage(spark, frame, DATA)
+        assert out.columns == frame.columns and out.filter("doc_id IS NULL").count() == 1
+        assert stage(spark, frame.limit(0), DATA).count() == 0
+    assert corpus_pipeline.one_of_each(spark, frame, DATA).filter("doc_id IN (7, 8)").count() == 1
+    assert corpus_pipeline.pack_windows(spark, frame, DATA).select("doc_id").distinct().count() == len(EDGE) + 4
