@@ -38,12 +38,10 @@ HOT = 4096
 LONG = 24
 #: Comparisons of prefixes within one list of difference tokens; longer lists get a pivot of their own.
 WORK = 50_000
-#: Rounds of pivots before what is left is paired.
+#: Rounds of pivots before what is left is joined by prefixes within its lists.
 ROUNDS = 8
-#: Documents for each range of the packed exchanges.
-RANGE_DOCS = 8000
-#: Candidate ids up to this number are sent to the workers (8 bytes each); more are joined.
-SENT_IDS = 2_000_000
+#: Bytes of text for each range of the packed exchanges.
+RANGE_BYTES = 20_000_000
 
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k, 2**64)) for k in range(64)]
 _SHIFT = np.uint64(16)
@@ -93,7 +91,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def _ranges(docs: DataFrame) -> int:
-    return max(16, math.ceil(docs.count() / RANGE_DOCS))
+    return max(16, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / RANGE_BYTES))
 
 
 def _range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
@@ -190,7 +188,7 @@ def _tokens_of(blobs: list[bytes]) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _index(ranges: int, hot: bool, frequent, wanted):
+def _index(ranges: int, hot: bool, frequent):
     """Postings (token, group, size, position): hot tokens as rows, the others packed by token range."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -205,18 +203,16 @@ def _index(ranges: int, hot: bool, frequent, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for batch in batches:
-            if wanted is not None:
-                batch = batch.filter(pa.array(_among(wanted, batch.column("row").to_numpy())))
             blobs = batch.column("prefix").to_pylist()
             token = _tokens_of(blobs)
             size = np.array([len(x) // 6 for x in blobs], np.int64)
             mine = (_counts_of(frequent, token) > HOT) == hot
-            group = np.repeat(batch.column("gid").to_numpy(), size)[mine]
-            n, pos, token = np.repeat(batch.column("n").to_numpy(), size)[mine], long_range(size)[mine], token[mine]
+            group, token = np.repeat(batch.column("gid").to_numpy(), size)[mine], token[mine]
             if hot:
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(group), pa.array(n), pa.array(pos)], ["token", "gid", "n", "pos"])
+                row = np.repeat(batch.column("row").to_numpy(), size)[mine]
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(group), pa.array(row)], ["token", "gid", "row"])
             elif len(token):
-                held.append((token, group, n, pos))
+                held.append((token, group, np.repeat(batch.column("n").to_numpy(), size)[mine], long_range(size)[mine]))
                 many += len(token)
                 if many > 2_000_000:
                     yield flush(held)
@@ -227,19 +223,6 @@ def _index(ranges: int, hot: bool, frequent, wanted):
     return run
 
 
-def _among(sent, values: np.ndarray) -> np.ndarray:
-    ids = np.frombuffer(sent.value, np.int64)
-    return ids[np.minimum(np.searchsorted(ids, values), len(ids) - 1)] == values if len(ids) else np.zeros(len(values), bool)
-
-
-def _sendable(rows: DataFrame, column: str):
-    """The column's distinct values, sorted and broadcast, if they are few enough to send; else None."""
-    rows = rows.select(column).distinct()
-    if rows.count() > SENT_IDS:
-        return None
-    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.toArrow()[column].to_numpy()).astype(np.int64).tobytes())
-
-
 def _possible(na, nb, pa_, pb):
     """Size filter, and the position filter at the first common token: what can still be shared suffices."""
     most = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
@@ -270,14 +253,11 @@ def _lists(table: pa.Table, longest: int) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate([pairs[:, 0], group[long_]])), "b": null(pairs[:, 1], False), "token": null(token[long_].view(np.int64), True), "n": null(n[long_], True), "pos": null(pos[long_], True)})
 
 
-def _whole_sets(wanted, size: int):
+def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if wanted is not None:
-                batch = batch.filter(pa.array(_among(wanted, batch.column("doc_id").to_numpy(zero_copy_only=False))))
-            for block in text_blocks(iter([batch]), "text"):
-                tokens, at = shingles(Words(block.column("text")), size)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([tokens[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], ["id", "tokens"])
+        for block in text_blocks(batches, "text"):
+            tokens, at = shingles(Words(block.column("text")), size)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([tokens[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], ["id", "tokens"])
 
     return run
 
@@ -322,12 +302,17 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _DIFFERENCES = "pivot long, id long, n long, np long, size long, tokens array<long>"
 
 
-def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, token) of every token of every member."""
-    for batch in batches:
-        blobs = batch.column("tokens").to_pylist()
-        n = np.array([len(x) // 8 for x in blobs], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("pivot").to_numpy(), n)), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["pivot", "token"])
+def _as_rows(*keep: str):
+    """The columns `keep`, the set's size and a token, for every token of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column("tokens").to_pylist()
+            n = np.array([len(x) // 8 for x in blobs], np.int64)
+            columns = [np.repeat(batch.column(c).to_numpy(), n) for c in keep] + [np.repeat(n, n), np.frombuffer(b"".join(blobs), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*keep, "n", "token"])
+
+    return run
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +320,25 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("pivot"), pa.array([np.sort(np.array(x, np.int64).view(np.uint64)).tobytes() for x in batch.column("tokens").to_pylist()], pa.binary())], ["pivot", "of_pivot"])
 
 
+def _within_lists(long_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the same list, by a prefix join of its own.
+
+    Tokens are ordered by how many members of the list hold them, so what brought the members together comes last
+    and members that share little else do not meet.
+    """
+    tokens = long_.select("list", "id").join(sets, "id").mapInArrow(_as_rows("list", "id"), "list long, id long, n long, token long")
+    tokens = written(tokens, "list-tokens")
+    common = tokens.groupBy("list", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    order = Window.partitionBy("list", "id").orderBy("df", "token")
+    index = tokens.join(common, ["list", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    index = index.withColumn("pos", F.row_number().over(order) - 1)
+    index = written(index.filter(f"df > 1 AND pos <= n - ({PERCENT} * n + 99) div 100").drop("df"), "list-index")
+    left, right = (index.select("list", "token", *(F.col(c).alias(x + c) for c in ("id", "n", "pos"))) for x in "ab")
+    most = F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos"))
+    fits = (F.col("aid") < F.col("bid")) & (100 * most >= PERCENT * (F.col("an") + F.col("bn") - most))
+    return left.join(right, ["list", "token"]).filter(fits).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+
+
 def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) -> list[DataFrame]:
     """Links that connect all that is linked within long lists (list, id), without pairing their members.
 
@@ -346,7 +350,7 @@ def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) ->
 
     C is the consensus of a list: the tokens in most of its members near a pivot, a member drawn by hash. Lists with
     one pivot count as one. Members far from the pivot go on with another, together with those between (outer), which
-    may be linked with them; so do difference tokens whose own lists are long. After `rounds` what is left is paired.
+    may be linked with them; so do difference tokens whose own lists are long. After `rounds` what is left goes to _within_lists.
     """
     P, found = PERCENT, []
     unit = (100 - P) / (100 + P)
@@ -360,7 +364,7 @@ def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) ->
         reach = unit * (F.col("n") + F.col("np"))
         rows = written(rows.withColumn("far", F.col("size") > 3.6 * reach).withColumn("outer", F.col("size") > 2.0 * reach), "distances")
         near = written(members.join(rows.filter("NOT far").select("pivot", "id"), ["pivot", "id"]), "near")
-        votes = near.mapInArrow(_as_rows, "pivot long, token long").groupBy("pivot", "token").agg(F.count("*").alias("votes"))
+        votes = near.mapInArrow(_as_rows("pivot"), "pivot long, n long, token long").groupBy("pivot", "token").agg(F.count("*").alias("votes"))
         sizes = near.groupBy("pivot").agg(F.count("*").alias("many"))
         consensus = votes.join(sizes, "pivot").filter("2 * votes > many").groupBy("pivot").agg(F.collect_list("token").alias("tokens"))
         consensus = sizes.join(consensus, "pivot", "left").select("pivot", F.coalesce("tokens", F.array().cast("array<long>")).alias("tokens"))
@@ -400,9 +404,7 @@ def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) ->
         long_ = written(away.union(crowded).distinct(), "long")
         if long_.isEmpty():
             return found
-    mine = long_.select("list", F.col("id").alias("a"))
-    pairs = mine.join(long_.select("list", F.col("id").alias("b")), "list").filter("a < b").select("a", "b").distinct()
-    found.append(written(_verify(pairs, sets).filter("linked").select("a", "b"), "strays"))
+    found.append(written(_verify(_within_lists(long_, sets), sets).filter("linked").select("a", "b"), "strays"))
     return found
 
 
@@ -438,14 +440,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     crowded = groups.filter("members > 1").select("key", "n", "gid").join(texts, ["key", "n"]).select("rep", "gid")
     crowded = written(crowded, "members")
 
-    # Only a group's first text is indexed; its row is found by hash, so prefixes need no exchange while ids can be sent.
+    # Only a group's first text is indexed; repeated rows go before they are dealt, so none of them fills a task.
     rows = some.select("n", "prefix", F.col("doc_id").alias("gid"), F.xxhash64("doc_id", "d1", "d2").alias("row"))
-    wanted = _sendable(groups, "row")
-    if wanted is None:
-        rows = rows.join(groups.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    packed = rows.mapInArrow(_index(ranges, False, sent, wanted), "part long, token binary, gid binary, n binary, pos binary")
+    firsts = groups.select("row").hint("merge")
+    packed = rows.dropDuplicates(["row"]).join(firsts, "row", "left_semi")
+    packed = packed.mapInArrow(_index(ranges, False, sent), "part long, token binary, gid binary, n binary, pos binary")
     lists = written(packed.groupBy("part").applyInArrow(lambda part: _lists(part, longest), "a long, b long, token long, n long, pos long"), "lists")
-    hot = rows.mapInArrow(_index(ranges, True, sent, wanted), "token long, gid long, n long, pos long")
+    hot = rows.mapInArrow(_index(ranges, True, sent), "token long, gid long, row long").join(firsts, "row", "left_semi")
     rows = hot.select("token", "gid").union(lists.filter("b IS NULL").select("token", F.col("a").alias("gid")))
     # Groups of several texts: those that a packed list can hold are paired within, the others are lists themselves.
     small = groups.filter(F.col("members").between(2, longest)).select(F.col("gid").alias("a"), F.col("gid").alias("b"))
@@ -458,11 +459,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long_.select("id")).distinct()
     ids = written(ids.withColumnRenamed("id", "doc_id"), "ids")
-    wanted, chosen = _sendable(ids, "doc_id"), docs.filter("doc_id IS NOT NULL")
-    if wanted is None:
-        chosen = chosen.join(ids, "doc_id", "left_semi")
-    sets = chosen.mapInArrow(_whole_sets(wanted, size), "id long, tokens binary")
-    sets = written(sets.dropDuplicates(["id"]), "whole")
+    chosen = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = written(chosen.mapInArrow(_whole_sets(size), "id long, tokens binary"), "whole")
     found = [written(_verify(pairs, sets).filter("linked").select("a", "b"), "links")]
     if not long_.isEmpty():
         found += _resolve_long(long_, sets, rounds, work)

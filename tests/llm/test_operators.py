@@ -68,8 +68,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got.get(v, v) == find(v) for v in parent)
+    for hubs in (1, 8, 1000):  # no hubs, the star's centre alone, every vertex
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), hubs=hubs).collect()}
+        assert all(got.get(v, v) == find(v) for v in parent)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -93,7 +94,7 @@ def jaccard_brute(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("settings", [{}, {"longest": 2, "work": 3}, {"longest": 3, "rounds": 1, "work": 2}])
+@pytest.mark.parametrize("settings", [{}, {"longest": 2, "work": 3}, {"longest": 3, "rounds": 1, "work": 2}, {"longest": 2, "rounds": 0}])
 def test_ngram_join(spark, settings):
     rng = random.Random(4)
     texts = [prose(rng, 40, 5000) for _ in range(15)]
