@@ -1,6 +1,7 @@
 """Conflict-constrained best-fit packing of documents into training windows.
 
-Documents are dealt over shards of bounded size by a hash of their id and packed within a shard, longest first. Open
+Documents are dealt over shards of bounded size by a hash of their row and packed within a shard, longest first; equal
+rows are counted first and dealt in blocks, so that any number of them spreads over the shards. Open
 bins stand in order of what is left in them and carry bitmaps of the sources and duplicate clusters they hold. For an
 item the search starts at the tightest bin it fits and goes on to the next until one has neither its source nor its
 cluster; without any a new bin opens. A text longer than a bin fills bins of its own with whole pieces; what is left of
@@ -121,15 +122,21 @@ def pack_documents(items: DataFrame, capacity: int = CAPACITY, shard_rows: int =
     items holds doc_id, source, n_words and cluster. Bins are numbered within their shard. A document without words
     (null or empty text) has one row with bin -1. Repeated rows are packed each; a null source or cluster conflicts
     with nothing; rows with a null doc_id are packed as well. Other columns are not read. An empty table gives no rows.
+    The result depends on the rows alone, not on how they lie.
     """
     spark = items.sparkSession
     arrow_limits(spark)
     items = items.select("doc_id", "source", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), "cluster")
     shards = max(1, -(-items.count() // shard_rows))
-    # Equal rows are told apart by their content only, so a task that is run again packs alike.
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards))
-    rows = items.withColumn("shard", F.coalesce(shard, F.lit(0)))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", F.desc("n_words"), "doc_id", "source", "cluster")
+    # Equal rows are interchangeable: they travel as a count, a block of them to a shard, and are unfolded there.
+    block = max(1, shard_rows // 8)
+    row = ["doc_id", "source", "n_words", "cluster"]
+    counted = items.groupBy(*row).agg(F.count("*").alias("many"))
+    blocks = counted.select(*row, "many", F.explode(F.expr(f"sequence(0, (many - 1) div {block})")).alias("block"))
+    dealt = blocks.withColumn("shard", F.pmod(F.xxhash64(*row, "block"), F.lit(shards))).repartition("shard")
+    copies = F.expr(f"sequence(1, least({block}, many - block * {block}))")
+    rows = dealt.select("shard", *row, F.explode(copies).alias("copy")).drop("copy")
+    rows = rows.sortWithinPartitions("shard", F.desc("n_words"), *row[:2], "cluster")
     return rows.mapInArrow(_pack(capacity), PACKED)
 
 

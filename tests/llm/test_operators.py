@@ -164,6 +164,18 @@ def test_packing(spark):
     assert packing.pack(frame.union(frame), 100, 30).count() == 2 * len(rows)
 
 
+def test_packing_spreads_hot_rows(spark):
+    # A third of the rows are one row, a third have a null id, and one id has many texts.
+    items = [(5, "a", 7, 5)] * 2000 + [(None, None, k % 50, k) for k in range(2000)] + [(9, f"s{k % 40}", k % 90, k) for k in range(2000)]
+    frame = spark.createDataFrame(items, "doc_id long, source string, n_words long, cluster long")
+    rows = packing.pack_documents(frame, 100, 200).collect()
+    assert collections.Counter((r.doc_id, r.n_words) for r in rows) == collections.Counter((i, n) for i, _, n, _ in items)
+    assert max(collections.Counter(r.shard for r in rows).values()) < 400
+    held = collections.Counter((r.shard, r.bin) for r in rows if r.doc_id == 5)
+    assert set(held.values()) == {1}  # copies conflict with each other
+    assert sorted(map(str, rows)) == sorted(map(str, packing.pack_documents(frame.repartition(7), 100, 200).collect()))
+
+
 def test_toxicity_learns_words_and_stems():
     rng = random.Random(3)
     toxic = lambda stem: " ".join(stem + rng.choice(["a", "ent", "ix", "or"]) + rng.choice(["", "e", "um"]) if rng.random() < 0.08 else f"w{rng.randrange(300)}" for _ in range(90))
