@@ -6,10 +6,12 @@ CONTEXT subwords that overlap by OVERLAP; each subword is scored once, in the wi
 batches with a causal mask. The output is a softmax in two steps, both made from the state: a class of subwords, then
 the subword within its class. Subwords without vectors of their own share one class, where counts decide.
 
-The network learns from a share of the training documents, so from a number that grows with the corpus: each task trains
-on whole texts of its part, and after each round the weights of all tasks are averaged, slice by slice.
+The network learns from every training document. All texts are encoded once; subwords are counted, and what stands
+around them, over all of them, which ranks the subwords and forms their classes. Each task then trains on whole texts of
+its part, and after each round the weights of all tasks are averaged, slice by slice. Rounds part a large corpus between
+them, so that each subword is learnt from once; small corpora are gone over in every round.
 
-Word counts, for the base score, come from all training documents. Frequent words' counts (a fixed number of them)
+Word counts, for the base score, come from all training documents as well. Frequent words' counts (a fixed number of them)
 travel to the tasks; the others are joined by a hash of the word, so nothing that grows with the corpus is held in one
 place.
 """
@@ -33,14 +35,18 @@ CONTEXT, OVERLAP = 32, 8
 DIM, HIDDEN, CLASSES = 16, 32, 64
 #: Words whose counts are sent to every task, 16 bytes each.
 HEAD_WORDS = 100_000
-#: The network learns from one in SHARE training documents, and from LEAST_DOCUMENTS at least if there are as many.
-SHARE, LEAST_DOCUMENTS = 100, 1200
+#: Documents that a round goes over at least, if there are as many; each is in one round at least.
+LEAST_DOCUMENTS = 1440
 #: Documents of a training task, and rounds of training between which weights are averaged.
-TASK_DOCUMENTS, ROUNDS = 1200, 4
-#: Bound of the draw that classes of subwords are formed on: documents, and characters of each.
-CLASS_SAMPLE, LONGEST = 1200, 8000
-#: Weights in one slice of the exchange that averages them.
+TASK_DOCUMENTS, ROUNDS = 2400, 4
+#: Windows of a training step: where one task learns, and where the averages of several smooth the steps besides.
+STEP, WIDE_STEP = 128, 512
+#: Steps of the hash that deals documents to rounds.
+DEALT = 1 << 20
+#: Weights or counts in one slice of the exchange that adds them up.
 SLICE = 4096
+#: Frequent subwords whose neighbourhood tells classes apart, and subwords whose neighbours are counted at once.
+WIDTH, NEAR_BLOCK = 256, 1 << 19
 #: Bytes of a word that are encoded at once; longer words are encoded in pieces.
 PIECE = 256
 _END = 50256
@@ -138,17 +144,33 @@ def spans(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.where(k == 0, first, first + OVERLAP), end
 
 
-def _classes(mass: np.ndarray, top: np.ndarray, flat: np.ndarray, known: np.ndarray) -> np.ndarray:
+def ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent subwords, at most KNOWN, and each subword's place among them from 1 (0: none)."""
+    top = np.argsort(-counts, kind="stable")[: min(KNOWN, int((counts > 0).sum()))]
+    known = np.zeros(len(counts), np.int32)
+    known[top] = np.arange(1, len(top) + 1)
+    return top, known
+
+
+def neighbours(flat: np.ndarray, known: np.ndarray, n_top: int) -> np.ndarray:
+    """How often each of the WIDTH most frequent subwords stands before a subword, and near it otherwise: counts of
+    [place of the subword, column], flat."""
+    width = min(n_top, WIDTH)
+    out = np.zeros((n_top + 1) * 2 * width, np.int64)
+    for first in range(0, len(flat), NEAR_BLOCK):
+        x, cells = known[flat[first : first + NEAR_BLOCK]].astype(np.int64), []
+        for step in (1, -1, *range(2, 13)):
+            here, there = (x[step:], x[:-step]) if step > 0 else (x[:step], x[-step:])
+            near = (there > 0) & (there <= width) & (here > 0)
+            cells.append(here[near] * 2 * width + there[near] - 1 + (0 if step == 1 else width))
+        out += np.bincount(np.concatenate(cells), minlength=len(out))
+    return out
+
+
+def _classes(mass: np.ndarray, top: np.ndarray, around: np.ndarray) -> np.ndarray:
     """A class for each subword: halves of nearly equal mass, cut again and again along the main axis of what stands
     around the subwords in the training texts. Subwords outside `top` follow in the last class."""
-    x = known[flat]
-    width = min(len(top), 256)
-    around = np.zeros((len(top) + 1, 2 * width))
-    for step in (1, -1, *range(2, 13)):
-        here, there = (x[step:], x[:-step]) if step > 0 else (x[:step], x[-step:])
-        near = (there > 0) & (there <= width)
-        column = there[near] - 1 + (0 if step == 1 else width)
-        around += np.bincount(here[near] * 2 * width + column, minlength=around.size).reshape(around.shape)
+    around = around.reshape(len(top) + 1, -1).astype(np.float64)
     around = np.sqrt(around[1:])
     around /= np.maximum(np.sqrt((around**2).sum(1, keepdims=True)), 1e-9)
     weight = mass[top] / mass[top].sum() if len(top) else mass[top]
@@ -177,17 +199,14 @@ def _classes(mass: np.ndarray, top: np.ndarray, flat: np.ndarray, known: np.ndar
 class Model:
     """One layer of causal attention with tables for the subwords it knows; others share one entry."""
 
-    def __init__(self, counts: np.ndarray, flat: np.ndarray, seed: int = 7):
-        """counts: the training texts' subwords, which rank them; flat: subwords in their order, which form classes."""
+    def __init__(self, counts: np.ndarray, around: np.ndarray, seed: int = 7):
+        """counts: the training texts' subwords, which rank them; around: their `neighbours`, which form classes."""
         counts = counts.astype(np.float64)
         rng = np.random.default_rng(seed)
         draw = lambda *s, by: (rng.standard_normal(s) * by).astype(np.float32)
         smooth = (counts + 0.1) / (counts.sum() + 0.1 * len(counts))
-        order = np.argsort(-counts, kind="stable")
-        top = order[: min(KNOWN, int((counts > 0).sum()))]
-        self.known = np.zeros(len(counts), np.int32)
-        self.known[top] = np.arange(1, len(top) + 1)
-        self.classes = _classes(smooth, top, flat, self.known)
+        top, self.known = ranked(counts)
+        self.classes = _classes(smooth, top, around)
         # Rows of the tables lie class by class, so that a class is a slice; row 0 stands for all others.
         top = top[np.argsort(self.classes[top], kind="stable")]
         self.known[top] = np.arange(1, len(top) + 1)
@@ -212,17 +231,20 @@ class Model:
     def state(self, x: np.ndarray):
         """The state after each position of windows of known-table ids [window, position], and what the gradients need."""
         p, (n, t) = self.p, x.shape
-        h = p["E"][x] + p["P"][:t]
-        q, k, v = h @ p["q"], h @ p["k"], h @ p["v"]
-        w = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(DIM))
+        h = (p["E"][x] + p["P"][:t]).reshape(n * t, -1)
+        q, k, v = ((h @ p[c]).reshape(n, t, -1) for c in "qkv")
+        w = q @ k.transpose(0, 2, 1)
+        w /= np.float32(np.sqrt(DIM))
         w += np.triu(np.full((t, t), -1e9, np.float32), 1)
         w -= w.max(-1, keepdims=True)
         np.exp(w, out=w)
         w /= w.sum(-1, keepdims=True)
-        z = w @ v
+        z = (w @ v).reshape(n * t, -1)
         m = h + z @ p["o"]
-        g = np.maximum(m @ p["A"] + p["a"], 0)
-        return m + g @ p["B"], (h, q, k, v, w, z, m, g)
+        g = m @ p["A"]
+        g += p["a"]
+        np.maximum(g, 0, out=g)
+        return (m + g @ p["B"]).reshape(n, t, -1), (h, q, k, v, w, z, m, g)
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         """Log-probabilities of all subwords after each position [window, position, subword]."""
@@ -242,56 +264,62 @@ class Model:
         """Gradients of the mean negative log-probability of `target` (subwords); positions of weight 0 don't count."""
         p, (n, t) = self.p, x.shape
         y, (h, q, k, v, w, z, m, g) = self.state(x)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        live = weight.ravel() > 0
-        total = live.sum()
-        yf, aim = flat(y), target.ravel()
-        kind = self.classes[aim]
-        ds = yf @ p["C"] + p["c"]
+        aim = target.ravel()
+        kind = np.where(weight.ravel() > 0, self.classes[aim], CLASSES).astype(np.uint8)
+        end = np.cumsum(np.bincount(kind, minlength=CLASSES + 1))
+        total = max(int(end[CLASSES - 1]), 1)
+        # Positions that count lie class by class from here on.
+        order = np.argsort(kind, kind="stable")[: end[CLASSES - 1]]
+        yf, aim, at = y.reshape(n * t, -1)[order], aim[order], (np.arange(len(order)), kind[order])
+        ds = yf @ p["C"]
+        ds += p["c"]
         ds -= ds.max(-1, keepdims=True)
         np.exp(ds, out=ds)
         ds /= ds.sum(-1, keepdims=True)
-        at = np.arange(len(aim)), kind
-        loss = -np.log(np.maximum(ds[at], 1e-30))[live].sum()
+        loss = -np.log(np.maximum(ds[at], 1e-30)).sum()
         ds[at] -= 1
-        ds *= (live / total).astype(np.float32)[:, None]
         out = {"C": yf.T @ ds, "c": ds.sum(0), "D": np.zeros_like(p["D"]), "d": np.zeros_like(p["d"])}
         dy = ds @ p["C"].T
         # Within its class each position meets the rows of that class only.
-        sizes = np.bincount(np.where(live, kind, CLASSES), minlength=CLASSES + 1)
-        order = np.argsort(np.where(live, kind, CLASSES).astype(np.uint8), kind="stable")
-        end = np.cumsum(sizes)
-        for c, (first, last) in enumerate(self.slices):
-            if not sizes[c] or last - first < 2:
+        place, begin = self.known[aim], 0
+        for (first, last), stop in zip(self.slices, end.tolist()):
+            rows, begin = slice(begin, stop), stop
+            if rows.start == stop or last - first < 2:
                 continue
-            rows = order[end[c] - sizes[c] : end[c]]
-            du = yf[rows] @ p["D"][first:last].T + p["d"][first:last]
+            du = yf[rows] @ p["D"][first:last].T
+            du += p["d"][first:last]
             du -= du.max(-1, keepdims=True)
             np.exp(du, out=du)
             du /= du.sum(-1, keepdims=True)
-            at = np.arange(len(rows)), self.known[aim[rows]] - first
+            at = np.arange(len(du)), place[rows] - first
             loss -= np.log(np.maximum(du[at], 1e-30)).sum()
             du[at] -= 1
-            du /= total
             out["D"][first:last], out["d"][first:last] = du.T @ yf[rows], du.sum(0)
             dy[rows] += du @ p["D"][first:last]
-        dy = dy.reshape(y.shape)
-        dg = (dy @ p["B"].T) * (g > 0)
-        out |= {"B": flat(g).T @ flat(dy), "A": flat(m).T @ flat(dg), "a": dg.sum((0, 1))}
-        dm = dy + dg @ p["A"].T
-        out["o"] = flat(z).T @ flat(dm)
-        dz = dm @ p["o"].T
+        for c in out:
+            out[c] /= total
+        dyf = np.zeros((n * t, dy.shape[1]), dy.dtype)
+        dyf[order] = dy / total
+        dg = dyf @ p["B"].T
+        dg *= g > 0
+        out |= {"B": g.T @ dyf, "A": m.T @ dg, "a": dg.sum(0)}
+        dm = dyf + dg @ p["A"].T
+        out["o"] = z.T @ dm
+        dz = (dm @ p["o"].T).reshape(n, t, -1)
         dv = w.transpose(0, 2, 1) @ dz
         dw = dz @ v.transpose(0, 2, 1)
-        dw = w * (dw - (dw * w).sum(-1, keepdims=True)) / np.float32(np.sqrt(DIM))
-        dq, dk = dw @ k, dw.transpose(0, 2, 1) @ q
+        dw *= w
+        dw -= w * dw.sum(-1, keepdims=True)
+        dw /= np.float32(np.sqrt(DIM))
+        flat = lambda a: a.reshape(n * t, -1)
+        dq, dk, dv = flat(dw @ k), flat(dw.transpose(0, 2, 1) @ q), flat(dv)
         dh = dm + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        out |= {"q": flat(h).T @ flat(dq), "k": flat(h).T @ flat(dk), "v": flat(h).T @ flat(dv)}
+        out |= {"q": h.T @ dq, "k": h.T @ dk, "v": h.T @ dv}
         out["P"] = np.zeros_like(p["P"])
-        out["P"][:t] = dh.sum(0)
-        fx, fd = x.ravel(), flat(dh)
-        out["E"] = np.stack([np.bincount(fx, fd[:, j], len(p["E"])) for j in range(DIM)], 1).astype(np.float32)
-        return out, float(loss / max(total, 1))
+        out["P"][:t] = dh.reshape(n, t, -1).sum(0)
+        fx = x.ravel()
+        out["E"] = np.stack([np.bincount(fx, c, len(p["E"])) for c in np.ascontiguousarray(dh.T)], 1).astype(np.float32)
+        return out, float(loss / total)
 
     def log_probabilities(self, ids: np.ndarray, offsets: np.ndarray, batch: int = 512) -> np.ndarray:
         """Natural log-probability of every subword given those before it in its text (an end precedes the first)."""
@@ -375,19 +403,20 @@ class Model:
 class Trainer:
     """Steps of the weights of a model over texts, block by block."""
 
-    def __init__(self, model: Model, rate: float, seed: int, folder: str):
+    def __init__(self, model: Model, rate: float, seed: int):
         self.model, self.rate, self.steps, self.tokens = model, rate, 0, 0
-        self.rng, self.spelling = np.random.default_rng(seed), Spelling(folder)
+        self.rng = np.random.default_rng(seed)
         self.m, self.s = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
 
-    def learn(self, texts: pa.Array, batch: int = 128) -> None:
-        """One pass over the windows of the texts in a drawn order."""
-        words = Words(texts)
-        flat, offsets = sequences(words, *self.spelling.ids(words))
+    def learn(self, flat: np.ndarray, offsets: np.ndarray, batch: int = STEP) -> None:
+        """One pass over the texts' subwords in windows without overlap, in a drawn order."""
         model, p = self.model, self.model.p
-        previous = np.append(_END, flat[:-1])
+        previous = np.append(np.int32(_END), flat[:-1])
         previous[offsets[:-1]] = _END
-        first, _, end = spans(offsets)
+        many = -(-np.diff(offsets) // CONTEXT)
+        row = np.repeat(np.arange(len(many)), many)
+        first = offsets[:-1][row] + long_range(many) * CONTEXT
+        end = np.minimum(first + CONTEXT, offsets[1:][row])
         order = self.rng.permutation(len(first))
         for part in np.array_split(order, max(1, len(order) // batch)):
             at = first[part][:, None] + np.arange(CONTEXT)
@@ -407,51 +436,99 @@ def rate(k: int) -> float:
     return 0.01 * 0.45**k
 
 
-def initial(texts: pa.Array, counts: np.ndarray | None = None, folder: str = VOCABULARIES, seed: int = 7) -> Model:
-    """An untrained model, its classes formed on the texts; `counts` are those of the texts' subwords unless given."""
+def encoded(texts: pa.Array, spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords of all texts, each with its end, and the offsets of the texts in them."""
     words = Words(texts)
-    flat, _ = sequences(words, *Spelling(folder).ids(words))
-    return Model(np.bincount(flat, minlength=_VOCAB) if counts is None else counts, flat, seed)
+    return sequences(words, *spelling.ids(words))
 
 
 def train(texts: pa.Array, folder: str = VOCABULARIES, rounds: int = ROUNDS, seed: int = 7) -> Model:
     """Fit on the texts in this process, as a single task of `fit` would."""
-    model = initial(texts, None, folder, seed)
+    flat, offsets = encoded(texts, Spelling(folder))
+    counts = np.bincount(flat, minlength=_VOCAB)
+    top, known = ranked(counts)
+    model = Model(counts, neighbours(flat, known, len(top)), seed)
     for k in range(rounds if len(texts) else 0):
-        Trainer(model, rate(k), seed + k, folder).learn(texts)
+        Trainer(model, rate(k), seed + k).learn(flat, offsets)
     return model
 
 
-def _subword_counts(folder: str):
+def _encode(folder: str):
+    """Each text's subwords as 16-bit numbers, with what deals the text to a round."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, total = Spelling(folder), np.zeros(_VOCAB, np.int64)
+        spelling = Spelling(folder)
         for batch in text_blocks(batches, "text"):
-            words = Words(batch.column("text"))
-            total += np.bincount(sequences(words, *spelling.ids(words))[0], minlength=_VOCAB)
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["subword", "n"])
+            flat, offsets = encoded(batch.column("text"), spelling)
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets * 2), pa.py_buffer(flat.astype(np.uint16))])
+            yield pa.RecordBatch.from_arrays([batch.column("dealt"), ids.cast(pa.binary())], ["dealt", "ids"])
+
+    return run
+
+
+def _id_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Subwords and offsets of the texts of each batch."""
+    for batch in batches:
+        if batch.num_rows:
+            column = batch.column("ids").cast(pa.large_binary())
+            _, where, data = column.buffers()
+            offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+            yield np.frombuffer(data, np.uint16, (offsets[-1] - offsets[0]) // 2, offsets[0]).astype(np.int32), (offsets - offsets[0]) // 2
+    release()
+
+
+def _subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_VOCAB, np.int64)
+    for flat, _ in _id_blocks(batches):
+        total += np.bincount(flat, minlength=_VOCAB)
+    met = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["subword", "n"])
+
+
+def _neighbours(known: np.ndarray, n_top: int):
+    """A task's neighbours of subwords, in those slices that hold any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for flat, _ in _id_blocks(batches):
+            found = neighbours(flat, known, n_top)
+            total = found if total is None else np.add(total, found, out=total)
+        if total is not None:
+            parts = {k: total[s : s + SLICE] for k, s in enumerate(range(0, len(total), SLICE))}
+            parts = {k: x.tobytes() for k, x in parts.items() if x.any()}
+            yield pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.int64()), pa.array(parts.values(), pa.binary())], ["slice", "n"])
 
     return run
 
 
-def _form(counts: np.ndarray, folder: str, seed: int):
+def _added(slices: pa.Table) -> pa.Table:
+    total = 0
+    for blob in slices["n"].to_pylist():
+        total = total + np.frombuffer(blob, np.int64)
+    return pa.table({"slice": slices["slice"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+
+def _form(counts: np.ndarray, n_top: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.column("text").cast(pa.string()) for b in batches if b.num_rows]
-        model = pickle.dumps(initial(pa.concat_arrays(held) if held else pa.array([], pa.string()), counts, folder, seed))
+        around = np.zeros((n_top + 1) * 2 * min(n_top, WIDTH), np.int64)
+        for batch in batches:
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist()):
+                around[k * SLICE : (k + 1) * SLICE] = np.frombuffer(blob, np.int64)
+        model = pickle.dumps(Model(counts, around, seed))
         release()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     return run
 
 
-def _round(sent, k: int, folder: str):
+def _round(sent, k: int, batch: int):
     """A task's weights after a pass over its texts, times its tokens, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = None
-        for batch in text_blocks(batches, "text"):
-            trainer = trainer or Trainer(pickle.loads(sent.value), rate(k), 100 + k, folder)
-            trainer.learn(batch.column("text"))
+        for flat, offsets in _id_blocks(batches):
+            trainer = trainer or Trainer(pickle.loads(sent.value), rate(k), 100 + k)
+            trainer.learn(flat, offsets, batch)
         if trainer is not None:
             v = trainer.model.vector().astype(np.float64) * trainer.tokens
             parts = [v[s : s + SLICE].tobytes() for s in range(0, len(v), SLICE)]
@@ -467,30 +544,38 @@ def _averaged(slices: pa.Table) -> pa.Table:
     return pa.table({"slice": slices["slice"][:1], "weights": pa.array([(weights / total).astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, folder: str = VOCABULARIES, share: int = SHARE, least: int = LEAST_DOCUMENTS, task_documents: int = TASK_DOCUMENTS, rounds: int = ROUNDS, seed: int = 7) -> Model:
-    """Train on one in `share` documents (whole texts of any length), on `least` at least where there are as many.
+def of_round(k: int, rounds: int, count: int, least: int):
+    """Which of `count` documents round k goes over, by their column `dealt`, and their share: a part of its own of a
+    large corpus, wider parts where that is under `least` documents. All rounds together go over every document."""
+    share = max(1 / rounds, min(1.0, least / max(1, count)))
+    return F.pmod(F.col("dealt") - k * DEALT // rounds, F.lit(DEALT)) < math.ceil(share * DEALT), share
+
+
+def fit(docs: DataFrame, folder: str = VOCABULARIES, least: int = LEAST_DOCUMENTS, task_documents: int = TASK_DOCUMENTS, rounds: int = ROUNDS, seed: int = 7) -> Model:
+    """Train on all documents (whole texts of any length); each round goes over `least` at least, if there are as many.
 
-    Documents are drawn by a hash of id and text; null texts are ends alone. In each round every task starts from the
-    same weights and passes once over its documents; the driver holds one model, whatever the number of tasks.
+    Documents are dealt to rounds by a hash of id and text; null texts are ends alone. In each round every task starts
+    from the same weights and passes once over its documents; the driver holds one model, whatever the number of tasks.
     Without documents the model spreads its mass evenly.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    count = docs.count()
-    key = F.xxhash64("doc_id", "text", F.lit(3))
-    part = min(1.0, max(1 / share, 1.2 * least / max(1, count)))
-    drawn = docs.filter(F.pmod(key, F.lit(2**31)) < int(part * 2**31)).select("doc_id", "text")
-    tasks = max(1, math.ceil(part * count / task_documents))
-    texts = written(drawn.select("text"), "learn")
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(DEALT)).alias("dealt")
+    texts = written(docs.select(dealt, "text").mapInArrow(_encode(folder), "dealt long, ids binary"), "learn")
+    count = texts.count()
     counts = np.zeros(_VOCAB, np.int64)
-    found = texts.mapInArrow(_subword_counts(folder), "subword long, n long").groupBy("subword").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("ids").mapInArrow(_subword_counts, "subword long, n long").groupBy("subword").agg(F.sum("n").alias("n")).toArrow()
     counts[found["subword"].to_numpy()] = found["n"].to_numpy()
-    some = texts.filter(F.length("text") <= LONGEST).limit(CLASS_SAMPLE).coalesce(1)
-    formed = some.mapInArrow(_form(counts, folder, seed), "model binary").collect()
-    model = pickle.loads(formed[0]["model"]) if formed else initial(pa.array([], pa.string()), counts, folder, seed)
+    top, known = ranked(counts)
+    around = texts.select("ids").mapInArrow(_neighbours(known, len(top)), "slice long, n binary").groupBy("slice").applyInArrow(_added, "slice long, n binary")
+    formed = around.coalesce(1).mapInArrow(_form(counts, len(top), seed), "model binary").collect()
+    model = pickle.loads(formed[0]["model"]) if formed else Model(counts, neighbours(np.zeros(0, np.int32), known, len(top)), seed)
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(pickle.dumps(model))
-        ends = texts.repartition(tasks).mapInArrow(_round(sent, k, folder), "slice long, tokens long, weights binary")
+        chosen, share = of_round(k, rounds, count, least)
+        tasks = max(1, math.ceil(share * count / task_documents))
+        part = texts.filter(chosen).select("ids").repartition(tasks)
+        ends = part.mapInArrow(_round(sent, k, STEP if tasks == 1 else WIDE_STEP), "slice long, tokens long, weights binary")
         rows = ends.groupBy("slice").applyInArrow(_averaged, "slice long, weights binary").toArrow().sort_by("slice")
         if rows.num_rows:
             model.take(np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"].to_pylist()]))

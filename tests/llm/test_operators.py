@@ -499,6 +499,26 @@ def test_language_model_score_is_that_of_its_subwords(spark):
         assert math.isclose(got[k], total / math.log(10), rel_tol=1e-4), k
 
 
+@needs_vocabulary
+def test_language_model_learns_from_every_document(spark):
+    """Each document has a subword of its own: all are counted, have a class and are met in training."""
+    rng = random.Random(8)
+    encode = token_counts.encoding().encode_ordinary
+    single = [w for w in (f" {chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)) if len(encode(w)) == 1][:90]
+    texts = [prose(rng, 30, 20) + w * 3 for w in single] + ["word " * 5000 + single[0]]
+    frame = docs(spark, texts)
+    at = [encode(w)[0] for w in single]
+    model, fresh = (language_model.fit(frame, least=5, task_documents=10, rounds=n) for n in (4, 0))
+    assert (model.known[at] > 0).all() and (model.classes[at] < language_model.CLASSES - 1).all()
+    rows = model.known[at]
+    assert (np.abs(model.p["E"][rows] - fresh.p["E"][rows]).sum(1) > 0).all()
+    # Rounds part a large corpus between them and go over a small one each.
+    dealt = spark.range(language_model.DEALT, step=997).withColumnRenamed("id", "dealt")
+    for count, least, times in ((10**6, 5, {1}), (4, 5, {3})):
+        met = collections.Counter(r.dealt for k in range(3) for r in dealt.filter(language_model.of_round(k, 3, count, least)[0]).collect())
+        assert len(met) == dealt.count() and set(met.values()) <= times | {2}
+
+
 @needs_data
 @needs_vocabulary
 def test_language_model_beats_word_counts_on_held_out_texts(spark):
