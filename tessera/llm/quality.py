@@ -1,12 +1,16 @@
 """Document quality by Bradley-Terry ranking: pairwise preferences, logistic loss on feature differences.
 
 Features describe a text's form (shares of byte classes, repetition, word shapes, frequent bytes and hashed words);
-measures enter through the sample's quantile steps, so the linear score can bend. A pair prefers a good document to a
-poor one. The score's threshold is that quantile of the training scores that the poor documents' share gives.
+measures enter through their quantile steps, so the linear score can bend. A pair prefers a good document to a poor one.
+The score's threshold is that quantile of the training scores that the poor documents' share gives.
+
+All labelled rows are learnt from: they are measured once and dealt to tasks, which train on pairs of their own rows;
+after each round the tasks' weights are averaged. Quantiles are exact, found digit by digit from counts over all rows.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -15,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.sampling import fitted, labelled_sample, remainder
-from tessera.llm.shared import Words, arrow_limits, text_blocks
+from tessera.llm.sampling import remainder
+from tessera.llm.shared import Words, arrow_limits, release, text_blocks, written
 
-#: Bound of the training sample: documents of each class, and characters of each text.
-PER_CLASS, LONGEST = 2500, 20_000
-PAIRS = 60_000
+#: Pairs that small corpora are gone over for; larger ones give as many as their larger class, in each round.
+PAIRS, ROUNDS = 60_000, 4
+#: Rows of a training task, rows that are paired among each other, and rows of the smaller class in a task at least:
+#: where the class has fewer, its rows are sent to several tasks.
+TASK_ROWS, PAIRED, PARTNERS = 20_000, 4096, 64
+#: Bits of a number that each pass of a quantile settles.
+DIGITS = (12, 10, 10, 8, 8, 8, 8)
 STEPS = 12
 HASHED = 512
 THRESHOLD = 0.3
@@ -99,38 +107,172 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(level.astype(np.float64), -700, 700)))
 
 
-def train(texts: pa.Array, labels: np.ndarray, base_rate: float | None = None, pairs: int = PAIRS, rounds: int = 12, seed: int = 11) -> Ranking:
-    """Fit on preference pairs (good before poor). Without documents of both classes all weights stay zero."""
-    parts = [measures(texts.slice(k, 256)) for k in range(0, len(texts), 256)]
-    if len(np.unique(labels)) < 2:
-        width = measures(pa.array(["x"]))[0].shape[1]
-        return Ranking(np.zeros((STEPS, width)), np.zeros(STEPS * width + HASHED, np.float32), -1.0 if len(labels) and labels[0] == 1 else 0.0, 1.0)
-    dense, hashed = (np.concatenate(x) for x in zip(*parts))
-    steps = np.quantile(dense, np.linspace(0.02, 0.98, STEPS), axis=0)
-    model = Ranking(steps, np.zeros(0), 0.0, 1.0)
-    x = model.features(dense, hashed)
-    rng = np.random.default_rng(seed)
-    good, poor = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    w, speed, rate = np.zeros(x.shape[1], np.float32), np.full(x.shape[1], 1e-6, np.float32), 0.05
-    for _ in range(rounds):
-        a, b = rng.choice(good, pairs // rounds), rng.choice(poor, pairs // rounds)
-        for k in range(0, len(a), 200):
+def learn(x: np.ndarray, labels: np.ndarray, w: np.ndarray, speed: np.ndarray, times: int, rng: np.random.Generator) -> int:
+    """Steps of w over pairs of rows of x, in place; each row is in `times` pairs at least. Returns the pairs."""
+    good, poor, rate = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0), 0.05
+    many = max(len(good), len(poor))
+    for _ in range(times):
+        a, b = (np.concatenate([rng.permutation(side) for _ in range(-(-many // len(side)))])[:many] for side in (good, poor))
+        for k in range(0, many, 200):
             d = x[a[k : k + 200]] - x[b[k : k + 200]]
             g = -(d.T @ (1 / (1 + np.exp(d @ w)))) / len(d) + 1e-4 * w
             speed += g * g
             w -= rate * g / np.sqrt(speed)
-    model.weights = w
-    raw = x @ w
-    share = base_rate if base_rate is not None else len(poor) / len(labels)
-    # The quantile that leaves the poor documents' share below, each class counting by its share of the whole.
-    order = np.argsort(raw)
-    mass = np.where(labels == 0, share / len(poor), (1 - share) / len(good))[order]
-    k = min(int(np.searchsorted(np.cumsum(mass), share)), len(raw) - 2)
-    model.cut = float((raw[order[k]] + raw[order[k + 1]]) / 2)
-    model.spread = float(max(raw.std() / 4, 1e-3))
+    return many * times
+
+
+def _times(good: int, poor: int, pairs: int, rounds: int) -> int:
+    return max(1, -(-pairs // (rounds * max(good, poor))))
+
+
+def _untrained(label: int | None) -> Ranking:
+    """What rows of one class, or none, teach: all weights are zero."""
+    width = measures(pa.array(["x"]))[0].shape[1]
+    return Ranking(np.zeros((STEPS, width)), np.zeros(STEPS * width + HASHED, np.float32), -1.0 if label == 1 else 0.0, 1.0)
+
+
+def _start(steps: np.ndarray) -> tuple[Ranking, np.ndarray]:
+    w = np.zeros(steps.size + HASHED, np.float32)
+    return Ranking(steps, w, 0.0, 1.0), np.full(len(w), 1e-6, np.float32)
+
+
+def train(texts: pa.Array, labels: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, seed: int = 11) -> Ranking:
+    """Fit on the texts in this process, as a single task of `fit` would. Without documents of both classes all weights
+    stay zero."""
+    if len(np.unique(labels)) < 2:
+        return _untrained(int(labels[0]) if len(labels) else None)
+    dense, hashed = (np.concatenate(x) for x in zip(*(measures(texts.slice(k, 256)) for k in range(0, len(texts), 256))))
+    model, speed = _start(np.sort(dense, 0)[_ranks(len(dense))])
+    x, n_poor = model.features(dense, hashed), int((labels == 0).sum())
+    for k in range(rounds):
+        learn(x, labels, model.weights, speed, _times(len(labels) - n_poor, n_poor, pairs, rounds), np.random.default_rng(seed + k))
+    raw = np.sort(x @ model.weights)
+    model.cut, model.spread = float((raw[n_poor - 1] + raw[n_poor]) / 2), float(max(raw.std() / 4, 1e-3))
     return model
 
 
+def _ranks(n: int) -> np.ndarray:
+    return np.rint(np.linspace(0.02, 0.98, STEPS) * (n - 1)).astype(np.int64)
+
+
+def _digits(shift: int, wanted: list[np.ndarray] | None, bits: int):
+    """(column, leading bits, rows) of the numbers whose bits before those, `bits` fewer, are among the column's wanted ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            u = np.concatenate(held)
+            held.clear()
+            for c in range(u.shape[1]):
+                lead = u[:, c] >> np.uint64(shift)
+                if wanted is not None:
+                    lead = lead[np.isin(lead >> np.uint64(bits), wanted[c])]
+                value, n = np.unique(lead, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c)), pa.array(value.view(np.int64)), pa.array(n)], ["place", "lead", "n"])
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column("dense").to_pylist())).reshape(batch.num_rows, -1) + 0.0
+                u = x.view(np.uint64)
+                held.append(np.where(u >> np.uint64(63), ~u, u | np.uint64(1 << 63)))  # in the numbers' order
+            if sum(map(len, held)) > 20_000:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def order_statistics(rows: DataFrame, ranks: np.ndarray) -> np.ndarray:
+    """The numbers of the given ranks (from 0) in each place of the binary column `dense` (doubles): [rank, place].
+
+    Each pass counts, over all rows, the next DIGITS of the numbers that share the digits found so far."""
+    shift, wanted, lead, left = 64, None, None, None
+    for bits in DIGITS:
+        shift -= bits
+        counted = rows.select("dense").mapInArrow(_digits(shift, wanted, bits), "place long, lead long, n long")
+        found = counted.groupBy("place", "lead").agg(F.sum("n").alias("n")).toArrow()
+        place, value, n = found["place"].to_numpy(), found["lead"].to_numpy().view(np.uint64), found["n"].to_numpy()
+        if lead is None:
+            left = np.repeat(np.asarray(ranks)[:, None], place.max() + 1, 1)
+            lead = np.zeros(left.shape, np.uint64)
+        for c in range(left.shape[1]):
+            mine = np.flatnonzero(place == c)
+            mine = mine[np.argsort(value[mine])]
+            for r in range(len(left)):
+                own = mine if wanted is None else mine[value[mine] >> np.uint64(bits) == lead[r, c]]
+                upto = np.cumsum(n[own])
+                k = int(np.searchsorted(upto, left[r, c], "right"))
+                left[r, c] -= upto[k] - n[own[k]]
+                lead[r, c] = value[own[k]]
+        wanted = [np.unique(lead[:, c]) for c in range(lead.shape[1])]
+    return np.where(lead >> np.uint64(63), lead ^ np.uint64(1 << 63), ~lead).view(np.float64)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_blocks(batches, "text"):
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            dense, hashed = ([x.tobytes() for x in side] for side in measures(part.column("text")))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(dense, pa.binary()), pa.array(hashed, pa.binary())], ["doc_id", "label", "dense", "hashed"])
+
+
+def _features(model: Ranking, batch: pa.RecordBatch) -> np.ndarray:
+    side = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1)
+    return model.features(side("dense", np.float64), side("hashed", np.float32))
+
+
+def _round(sent, times: int, seed: int):
+    """A task's weights and step sizes after a pass over its rows, and its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, speed = pickle.loads(sent.value)
+        model.weights, speed, rng, pairs = model.weights.copy(), speed.copy(), np.random.default_rng(seed), 0
+        xs, labels, n = [], [], 0
+
+        def pair() -> int:
+            nonlocal xs, labels, n
+            y = np.concatenate(labels) if labels else np.zeros(0, int)
+            if len(np.unique(y)) < 2:
+                return 0  # held until rows of the other class come
+            x, xs, labels, n = np.concatenate(xs), [], [], 0
+            return learn(x, y, model.weights, speed, times, rng)
+
+        for batch in batches:
+            if batch.num_rows:
+                xs.append(_features(model, batch))
+                labels.append(batch.column("label").to_numpy())
+                n += batch.num_rows
+            if n >= PAIRED:
+                pairs += pair()
+        pairs += pair()
+        release()
+        if pairs:
+            both = np.concatenate([model.weights, speed]).astype(np.float64) * pairs
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([pairs]), pa.array([both.tobytes()], pa.binary())], ["all", "pairs", "weights"])
+
+    return run
+
+
+def _averaged(rows: pa.Table) -> pa.Table:
+    total, both = 0, 0.0
+    for n, blob in sorted(zip(rows["pairs"].to_pylist(), rows["weights"].to_pylist())):
+        total, both = total + n, both + np.frombuffer(blob)
+    return pa.table({"weights": pa.array([(both / total).astype(np.float32).tobytes()], pa.binary())})
+
+
+def _raw(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, _ = pickle.loads(sent.value)
+        for batch in batches:
+            if batch.num_rows:
+                raw = (_features(model, batch) @ model.weights).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(raw), pa.array([x.tobytes() for x in raw], pa.binary())], ["raw", "dense"])
+
+    return run
+
+
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(sent.value)
@@ -140,15 +282,44 @@ def _score(sent):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn=None, per_class: int = PER_CLASS) -> Ranking:
-    """Train on a bounded sample (per_class documents of each class) of the labelled rows that `learn` admits.
+def fit(docs: DataFrame, labels: DataFrame, learn=None, pairs: int = PAIRS, rounds: int = ROUNDS, task_rows: int = TASK_ROWS, seed: int = 11) -> Ranking:
+    """Train on every row of docs whose label `learn` admits, texts of any length and null texts among them.
 
-    The poor documents' share, which sets the threshold, is counted over all those rows.
+    A document with labels of both kinds counts as good; other labels and nulls are left out. The threshold leaves as
+    many of those rows below it as are poor. The driver holds the weights and counts of bounded number only.
     """
+    spark = docs.sparkSession
+    arrow_limits(spark)
     learn = F.lit(True) if learn is None else learn
-    sample = labelled_sample(docs, labels, "quality", learn, per_class, LONGEST)
-    share = labels.filter(learn & F.col("quality").isin(0, 1)).agg(F.avg(1 - F.col("quality"))).first()[0]
-    return fitted(sample, lambda texts, labels: train(texts, labels, share))
+    marked = labels.filter(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    known = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    tasks = max(1, math.ceil(sum(known.values()) / task_rows))
+    least = min(known, key=known.get, default=0)
+    copies = min(tasks, max(1, math.ceil(PARTNERS * tasks / known.get(least, 1))))
+    # Labels grow with the documents: they are never broadcast.
+    rows = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id").mapInArrow(_measure, "doc_id long, label int, dense binary, hashed binary")
+    sent_to = F.explode(F.when(F.col("label") == least, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0))))
+    rows = rows.withColumn("again", sent_to).withColumn("task", F.pmod(F.xxhash64("doc_id") + F.col("again"), F.lit(tasks)))
+    rows = rows.repartition(tasks, "task").sortWithinPartitions("task", F.xxhash64("doc_id", F.lit(5)), "dense")
+    rows = written(rows.select("label", "again", "dense", "hashed"), "measures")
+    once = rows.filter("again = 0")
+    n, good = once.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if good in (0, n):
+        return _untrained(1 if good else 0)
+    model, speed = _start(order_statistics(once, _ranks(n)))
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(pickle.dumps((model, speed)))
+        ends = rows.select("label", "dense", "hashed").mapInArrow(_round(sent, _times(good, n - good, pairs, rounds), seed + k), "all long, pairs long, weights binary")
+        both = ends.groupBy("all").applyInArrow(_averaged, "weights binary").collect()
+        if both:
+            model.weights, speed = np.split(np.frombuffer(both[0]["weights"], np.float32), 2)
+        sent.destroy()
+    sent = spark.sparkContext.broadcast(pickle.dumps((model, speed)))
+    raw = written(once.select("dense", "hashed").mapInArrow(_raw(sent), "raw double, dense binary"), "raw")
+    sent.destroy()
+    model.cut = float(order_statistics(raw, np.array([n - good - 1, n - good])).mean())
+    model.spread = float(max(raw.agg(F.stddev_pop("raw")).first()[0] / 4, 1e-3))
+    return model
 
 
 def quality(docs: DataFrame, model: Ranking) -> DataFrame:

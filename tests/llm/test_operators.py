@@ -227,6 +227,28 @@ def test_quality_ranks_form():
     assert quality.train(pa.array(["a"]), np.array([1])).scores(pa.array(["b"]))[0] > 0.3
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Rows of any length and number, dealt to several tasks, few poor ones sent to all; quantiles are those of all rows."""
+    rng = random.Random(12)
+    texts = [prose(rng, 80, 60) + "." for _ in range(190)] + [" | ".join(prose(rng, 80, 60).split()) for _ in range(9)] + ["zz || " * 8000]
+    frame = docs(spark, texts)
+    labels = spark.createDataFrame([(k, int(k < 190)) for k in range(200)], "doc_id long, quality int")
+    met = []
+    real = quality.order_statistics
+    monkeypatch.setattr(quality, "order_statistics", lambda rows, ranks: met.append((rows.count(), real(rows, ranks))) or met[-1][1])
+    model = quality.fit(frame, labels, pairs=2000, task_rows=30)
+    dense = quality.measures(pa.array(texts))[0]
+    assert met[0][0] == met[1][0] == 200 and (met[0][1] == np.sort(dense, 0)[quality._ranks(200)]).all()
+    scores = model.scores(pa.array(texts))
+    assert (scores < 0.3).sum() == 10 and (scores[190:] < 0.3).all()
+    again = quality.fit(frame, labels, pairs=2000, task_rows=30)
+    assert np.allclose(again.weights, model.weights, atol=1e-6)
+    values = np.random.default_rng(3).normal(size=(500, 2)).round(1)
+    rows = spark.createDataFrame([(bytearray(x.tobytes()),) for x in values], "dense binary")
+    assert (real(rows, np.array([0, 250, 499])) == np.sort(values, 0)[[0, 250, 499]]).all()
+    assert quality.fit(frame, labels.filter("quality = 1")).scores(pa.array(["b"]))[0] > 0.3
+
+
 def con():
     c = duckdb.connect()
     for t in ("documents", "benchmark", "pages", "embeddings"):
