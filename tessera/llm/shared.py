@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -69,6 +70,7 @@ def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +81,20 @@ def arrow_limits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
 
+_tidied = [float("-inf")]
+
+
+def tidy(spark: SparkSession, pause: float = 3.0) -> bool:
+    """Collect what finished queries left in the driver (plans, broadcasts, generated classes), unless that was done
+    under `pause` seconds ago: a driver that runs many queries fills its heap to the limit otherwise."""
+    if time.monotonic() - _tidied[0] < pause:
+        return False
+    spark.sparkContext._jvm.java.lang.System.gc()
+    release()
+    _tidied[0] = time.monotonic()
+    return True
+
+
 def release() -> None:
     """Give freed memory back to the system: a reused worker process would keep a task's peak otherwise."""
     pa.default_memory_pool().release_unused()

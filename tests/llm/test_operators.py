@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_model, license_scan, packing, quality, token_counts, topk, toxicity, warc
+from tessera.llm import decontaminate, language_model, license_scan, packing, quality, shared, token_counts, topk, toxicity, warc
 from tessera.llm.components import components
 from tessera.llm.ngram_join import similar_components
 from tessera.llm.shared import Words, written
@@ -637,6 +637,15 @@ def test_decontamination_leaves_out_only_windows_around_odd_slots(spark):
     assert got[1, 1].covered == got[1, 1].item_words > got[0, 1].covered and got[0, 1].changed == 1
 
 
+def test_written_tables_tidy_the_driver(spark, monkeypatch):
+    """What finished queries left on the heap is collected when a table is written, once in a while."""
+    monkeypatch.setattr(shared, "_tidied", [float("-inf")])
+    assert shared.tidy(spark) and not shared.tidy(spark) and shared.tidy(spark, 0)
+    met = []
+    monkeypatch.setattr(shared, "tidy", met.append)
+    assert written(spark.range(10), "few").count() == 10 and met == [spark]
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline
