@@ -637,6 +637,14 @@ def test_decontamination_leaves_out_only_windows_around_odd_slots(spark):
     assert got[1, 1].covered == got[1, 1].item_words > got[0, 1].covered and got[0, 1].changed == 1
 
 
+def test_tidying_gives_the_heap_back(spark):
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    assert shared.tidy(spark, 0)
+    total = heap.totalMemory()
+    assert total < 2 * (total - heap.freeMemory()) + (32 << 20)
+    assert not shared._manage(spark, "NoSuchBean", "none")
+
+
 def test_written_tables_tidy_the_driver(spark, monkeypatch):
     """What finished queries left on the heap is collected when a table is written, once in a while."""
     monkeypatch.setattr(shared, "_tidied", [float("-inf")])
