@@ -47,6 +47,8 @@ DEALT = 1 << 20
 SLICE = 4096
 #: Frequent subwords whose neighbourhood tells classes apart, and subwords whose neighbours are counted at once.
 WIDTH, NEAR_BLOCK = 256, 1 << 19
+#: Windows and rows that are worked on at once, so that what is made of them stays near the processor.
+NEAR_WINDOWS, NEAR_ROWS = 64, 1024
 #: Bytes of a word that are encoded at once; longer words are encoded in pieces.
 PIECE = 256
 _END = 50256
@@ -57,6 +59,10 @@ KNOWN = 4095
 _VOCAB = 50257
 
 
+_SCALE = np.float32(1 / math.sqrt(DIM))
+_PAST = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+_ONES = np.ones(CLASSES, np.float32)
+
 #: Hash that stands for the end of a text.
 END_HASH = np.uint64(0x5EED0FE2D0F7E875)
 
@@ -196,6 +202,18 @@ def _classes(mass: np.ndarray, top: np.ndarray, around: np.ndarray) -> np.ndarra
     return out
 
 
+def _exp(x: np.ndarray, most: float) -> np.ndarray:
+    """e to the power of x in its place, of `most` where x is larger."""
+    if x.size and x.max() > most:
+        np.minimum(x, most, out=x)
+    return np.exp(x, out=x)
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The matrices of x turned over, laid out anew: products of small ones take a fraction of the time then."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 class Model:
     """One layer of causal attention with tables for the subwords it knows; others share one entry."""
 
@@ -231,20 +249,25 @@ class Model:
     def state(self, x: np.ndarray):
         """The state after each position of windows of known-table ids [window, position], and what the gradients need."""
         p, (n, t) = self.p, x.shape
-        h = (p["E"][x] + p["P"][:t]).reshape(n * t, -1)
-        q, k, v = ((h @ p[c]).reshape(n, t, -1) for c in "qkv")
-        w = q @ k.transpose(0, 2, 1)
-        w /= np.float32(np.sqrt(DIM))
-        w += np.triu(np.full((t, t), -1e9, np.float32), 1)
-        w -= w.max(-1, keepdims=True)
-        np.exp(w, out=w)
-        w /= w.sum(-1, keepdims=True)
+        h = p["E"].take(x, axis=0)
+        h += p["P"][:t]
+        h = h.reshape(n * t, -1)
+        qkv = np.empty((n * t, 3 * DIM + 1), h.dtype)
+        np.matmul(h, np.concatenate([p["q"] * _SCALE, p["k"], p["v"]], 1), out=qkv[:, :-1])
+        qkv[:, -1] = 1
+        q, k, v = (c.reshape(n, t, -1) for c in (qkv[:, :DIM], qkv[:, DIM : 2 * DIM], qkv[:, 2 * DIM :]))
+        w = q @ _turned(k)
+        _exp(w, 60)
+        w *= _PAST[:t, :t]
+        # The last column of v is 1, so that the product holds the sums of the weights.
         z = (w @ v).reshape(n * t, -1)
+        part = 1 / z[:, -1:]
+        z = z[:, :-1] * part
         m = h + z @ p["o"]
         g = m @ p["A"]
         g += p["a"]
         np.maximum(g, 0, out=g)
-        return (m + g @ p["B"]).reshape(n, t, -1), (h, q, k, v, w, z, m, g)
+        return (m + g @ p["B"]).reshape(n, t, -1), (h, q, k, v, w, part, z, m, g)
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         """Log-probabilities of all subwords after each position [window, position, subword]."""
@@ -260,68 +283,98 @@ class Model:
             out[:, :, np.flatnonzero((self.known >= first) & (self.known < last))[np.argsort(self.known[(self.known >= first) & (self.known < last)])]] = u
         return out + s[:, :, self.classes]
 
+    def back(self, x: np.ndarray, dy: np.ndarray, saved: tuple) -> dict:
+        """Gradients of the weights behind the states of `state`, dy those of the states [window * position]."""
+        p, (n, t) = self.p, x.shape
+        h, q, k, v, w, part, z, m, g = saved
+        dg = dy @ p["B"].T
+        dg *= g > 0
+        dm = dg @ p["A"].T
+        dm += dy
+        out = {"B": g.T @ dy, "A": m.T @ dg, "a": np.ones(n * t, dy.dtype) @ dg, "o": z.T @ dm}
+        dz = np.empty((n * t, DIM + 1), dy.dtype)
+        np.multiply(dm @ p["o"].T, part, out=dz[:, :-1])
+        dz[:, -1] = -np.einsum("ij,ij->i", dz[:, :-1], z)
+        dz = dz.reshape(n, t, -1)
+        dw = dz @ _turned(v)
+        dw *= w
+        to = np.concatenate([dw @ k, dw.transpose(0, 2, 1) @ q, w.transpose(0, 2, 1) @ dz[:, :, :-1]], 2).reshape(n * t, -1)
+        turned = h.T @ to
+        out |= {"q": turned[:, :DIM] * _SCALE, "k": turned[:, DIM : 2 * DIM], "v": turned[:, 2 * DIM :]}
+        dh = to @ np.concatenate([p["q"] * _SCALE, p["k"], p["v"]], 1).T
+        dh += dm
+        out["P"] = np.zeros_like(p["P"])
+        out["P"][:t] = (np.ones(n, dy.dtype) @ dh.reshape(n, -1)).reshape(t, -1)
+        return out | {"h": dh}
+
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
         """Gradients of the mean negative log-probability of `target` (subwords); positions of weight 0 don't count."""
         p, (n, t) = self.p, x.shape
-        y, (h, q, k, v, w, z, m, g) = self.state(x)
-        aim = target.ravel()
-        kind = np.where(weight.ravel() > 0, self.classes[aim], CLASSES).astype(np.uint8)
-        end = np.cumsum(np.bincount(kind, minlength=CLASSES + 1))
-        total = max(int(end[CLASSES - 1]), 1)
-        # Positions that count lie class by class from here on.
-        order = np.argsort(kind, kind="stable")[: end[CLASSES - 1]]
-        yf, aim, at = y.reshape(n * t, -1)[order], aim[order], (np.arange(len(order)), kind[order])
-        ds = yf @ p["C"]
-        ds += p["c"]
-        ds -= ds.max(-1, keepdims=True)
-        np.exp(ds, out=ds)
-        ds /= ds.sum(-1, keepdims=True)
-        loss = -np.log(np.maximum(ds[at], 1e-30)).sum()
-        ds[at] -= 1
-        out = {"C": yf.T @ ds, "c": ds.sum(0), "D": np.zeros_like(p["D"]), "d": np.zeros_like(p["d"])}
-        dy = ds @ p["C"].T
+        size = max(1, NEAR_ROWS // t)
+        blocks = [(s, self.state(x[s : s + size])) for s in range(0, n, size)]
+        # Positions that count lie subword by subword, and so class by class, from here on; subwords without vectors last.
+        aim = self.known[target.ravel()]
+        aim[aim == 0] = len(p["D"])
+        live = np.flatnonzero(weight.ravel() > 0)
+        order = live[np.argsort(aim[live].astype(np.uint16), kind="stable")]
+        aim, total = aim[order], max(len(order), 1)
+        exact = p["E"].dtype
+        y = np.ones((n * t, DIM + 1), exact)
+        y[:, :-1] = np.concatenate([b[0].reshape(-1, DIM) for _, b in blocks])
+        y = y[order]
+        # What the subwords themselves add: sums of the states before each of them.
+        first = np.flatnonzero(np.diff(aim, prepend=-1))
+        sums = np.zeros((len(p["D"]) + 1, DIM + 1), exact)
+        if len(first):
+            sums[aim[first]] = np.add.reduceat(y, first, 0)
+        C, D = np.vstack([p["C"], p["c"]]), np.concatenate([p["D"], p["d"][:, None]], 1)
+        edges = np.searchsorted(aim, [e for e, _ in self.slices] + [len(D)])
+        kind = np.repeat(np.arange(CLASSES), np.diff(np.append(edges, len(aim))))
+        dC, dD, dy = np.zeros_like(C), -sums[:-1], np.empty((len(y), DIM), exact)
+        loss, to_states = 0.0, np.ascontiguousarray(p["C"].T)
+        for s in range(0, len(y), NEAR_ROWS):
+            rows = slice(s, min(s + NEAR_ROWS, len(y)))
+            u = y[rows] @ C
+            own = u[np.arange(len(u)), kind[rows]]
+            part = _exp(u, 80) @ _ONES[:CLASSES]
+            loss += (np.log(part) - own).sum()
+            part = 1 / part[:, None]
+            dC += (y[rows] * part).T @ u
+            np.multiply(u @ to_states, part, out=dy[rows])
+            dy[rows] -= to_states[kind[rows]]
+        dC[:, CLASSES - 1] -= sums[-1]
         # Within its class each position meets the rows of that class only.
-        place, begin = self.known[aim], 0
-        for (first, last), stop in zip(self.slices, end.tolist()):
-            rows, begin = slice(begin, stop), stop
-            if rows.start == stop or last - first < 2:
+        for c, (low, high) in enumerate(self.slices):
+            rows = slice(edges[c], edges[c + 1])
+            if rows.start == rows.stop:
                 continue
-            du = yf[rows] @ p["D"][first:last].T
-            du += p["d"][first:last]
-            du -= du.max(-1, keepdims=True)
-            np.exp(du, out=du)
-            du /= du.sum(-1, keepdims=True)
-            at = np.arange(len(du)), place[rows] - first
-            loss -= np.log(np.maximum(du[at], 1e-30)).sum()
-            du[at] -= 1
-            out["D"][first:last], out["d"][first:last] = du.T @ yf[rows], du.sum(0)
-            dy[rows] += du @ p["D"][first:last]
-        for c in out:
-            out[c] /= total
-        dyf = np.zeros((n * t, dy.shape[1]), dy.dtype)
-        dyf[order] = dy / total
-        dg = dyf @ p["B"].T
-        dg *= g > 0
-        out |= {"B": g.T @ dyf, "A": m.T @ dg, "a": dg.sum(0)}
-        dm = dyf + dg @ p["A"].T
-        out["o"] = z.T @ dm
-        dz = (dm @ p["o"].T).reshape(n, t, -1)
-        dv = w.transpose(0, 2, 1) @ dz
-        dw = dz @ v.transpose(0, 2, 1)
-        dw *= w
-        dw -= w * dw.sum(-1, keepdims=True)
-        dw /= np.float32(np.sqrt(DIM))
-        flat = lambda a: a.reshape(n * t, -1)
-        dq, dk, dv = flat(dw @ k), flat(dw.transpose(0, 2, 1) @ q), flat(dv)
-        dh = dm + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        out |= {"q": h.T @ dq, "k": h.T @ dk, "v": h.T @ dv}
-        out["P"] = np.zeros_like(p["P"])
-        out["P"][:t] = dh.reshape(n, t, -1).sum(0)
+            dC[:, c] -= sums[low:high].sum(0)
+            if high - low < 2:
+                dD[low:high] = 0
+                continue
+            u = y[rows] @ np.ascontiguousarray(D[low:high].T)
+            own = u[np.arange(len(u)), aim[rows] - low]
+            part = _exp(u, 80) @ np.ones(high - low, exact)
+            loss += (np.log(part) - own).sum()
+            part = 1 / part[:, None]
+            dD[low:high] += u.T @ (y[rows] * part)
+            mine = u @ D[low:high, :-1]
+            mine *= part
+            mine -= D[aim[rows], :-1]
+            dy[rows] += mine
+        dC /= total
+        dD /= total
+        out = {"C": dC[:-1], "c": dC[-1], "D": dD[:, :-1], "d": dD[:, -1]}
+        dyf = np.zeros((n * t, DIM), exact)
+        dyf[order] = dy / exact.type(total)
+        parts = [self.back(x[s : s + size], dyf[s * t : (s + size) * t], saved) for s, (_, saved) in blocks]
+        dh = np.concatenate([b.pop("h") for b in parts])
+        out |= {k: sum(b[k] for b in parts) for k in parts[0]}
         fx = x.ravel()
         out["E"] = np.stack([np.bincount(fx, c, len(p["E"])) for c in np.ascontiguousarray(dh.T)], 1).astype(np.float32)
         return out, float(loss / total)
 
-    def log_probabilities(self, ids: np.ndarray, offsets: np.ndarray, batch: int = 512) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, offsets: np.ndarray, batch: int = 2048) -> np.ndarray:
         """Natural log-probability of every subword given those before it in its text (an end precedes the first)."""
         out = np.zeros(len(ids), np.float64)
         if not len(ids):
@@ -329,75 +382,83 @@ class Model:
         previous = np.empty_like(ids)
         previous[1:] = ids[:-1]
         previous[offsets[:-1][np.diff(offsets) > 0]] = _END
-        known, classes, place = self.known[previous], self.classes[ids].astype(np.uint8), self.known[ids]
+        known, place = self.known[previous], self.known[ids]
+        place[place == 0] = len(self.p["D"])
         first, scored, end = spans(offsets)
         width = end - first
-        D, d = self.p["D"], self.p["d"]
+        C, D = np.vstack([self.p["C"], self.p["c"]]), np.concatenate([self.p["D"], self.p["d"][:, None]], 1)
+        starts = [e for e, _ in self.slices] + [len(D)]
         for later in (False, True):
             chosen = np.flatnonzero((scored > first) == later)
             chosen = chosen[np.argsort(-width[chosen], kind="stable")]
+            lead = OVERLAP if later else 0
             for b in range(0, len(chosen), batch):
-                part = chosen[b : b + batch]
-                t = int(width[part[0]])
-                at = np.minimum(first[part][:, None] + np.arange(t), len(ids) - 1)
-                lead = OVERLAP if later else 0
-                y = self.states(known[at], lead)
-                pos = at[:, lead:]
-                live = (first[part][:, None] + np.arange(lead, t)) < end[part][:, None]
-                pos, y = (pos.ravel(), y) if live.all() else (pos[live], y[live.ravel()])
-                s = y @ self.p["C"]
-                s += self.p["c"]
-                kind = classes[pos]
-                value = s[np.arange(len(s)), kind]
-                np.minimum(s, 80, out=s)
-                value -= np.log(np.exp(s, out=s).sum(-1))
-                order = np.argsort(kind, kind="stable")
-                y, spot = y[order], place[pos[order]]
-                edges = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
-                inner = self.other[ids[pos[order]]]
+                found, where = [], []
+                for k in range(b, min(b + batch, len(chosen)), NEAR_WINDOWS):
+                    part = chosen[k : min(k + NEAR_WINDOWS, b + batch)]
+                    t = int(width[part[0]])
+                    at = first[part][:, None] + np.arange(t)
+                    full = width[part[-1]] == t
+                    y = self.states(known[at if full else np.minimum(at, len(ids) - 1)], lead)
+                    pos = at[:, lead:]
+                    if not full:
+                        live = pos < end[part][:, None]
+                        pos, y = pos[live], y[live.ravel()]
+                    found.append(y)
+                    where.append(pos.ravel())
+                y, pos = np.concatenate(found), np.concatenate(where)
+                aim = place[pos]
+                order = np.argsort(aim.astype(np.uint16), kind="stable")
+                y, pos, aim = y[order], pos[order], aim[order]
+                edges = np.searchsorted(aim, starts)
+                kind = np.repeat(np.arange(CLASSES), np.diff(np.append(edges, len(aim))))
+                value, mass = np.empty(len(y), np.float32), np.empty(len(y), np.float32)
+                for s in range(0, len(y), NEAR_ROWS):
+                    rows = slice(s, min(s + NEAR_ROWS, len(y)))
+                    u = y[rows] @ C
+                    value[rows] = u[np.arange(len(u)), kind[rows]]
+                    np.matmul(_exp(u, 80), _ONES[:CLASSES], out=mass[rows])
+                value -= np.log(mass)
+                inner, mass[:] = self.other[ids[pos]], 1
                 for c, (low, high) in enumerate(self.slices):
-                    rows = slice(edges[c], edges[c + 1])
-                    if rows.start == rows.stop:
+                    if edges[c] == edges[c + 1]:
                         continue
-                    u = y[rows] @ D[low:high].T
-                    u += d[low:high]
-                    mine = u[np.arange(len(u)), spot[rows] - low]
-                    np.minimum(u, 80, out=u)
-                    inner[rows] = mine - np.log(np.exp(u, out=u).sum(-1))
-                value[order] += inner
+                    inside, ones = np.ascontiguousarray(D[low:high].T), np.ones(high - low, np.float32)
+                    for s in range(edges[c], edges[c + 1], NEAR_ROWS):
+                        rows = slice(s, min(s + NEAR_ROWS, edges[c + 1]))
+                        u = y[rows] @ inside
+                        inner[rows] = u[np.arange(len(u)), aim[rows] - low]
+                        np.matmul(_exp(u, 80), ones, out=mass[rows])
+                inner -= np.log(mass)
+                value += inner
                 out[pos] = value
         return out
 
     def states(self, x: np.ndarray, lead: int) -> np.ndarray:
-        """States from position `lead` on, one row each; earlier positions are past only. Projections come from tables."""
+        """States from position `lead` on, one row each with a 1 behind it; earlier positions are past only. Projections
+        come from tables."""
         p, (n, t) = self.p, x.shape
         if not hasattr(self, "tables"):
-            scale = {"q": np.float32(1 / np.sqrt(DIM)), "k": np.float32(1), "v": np.float32(1)}
-            self.tables = [np.ascontiguousarray(p["E"] @ p[c] * scale[c]) for c in "qkv"], [p["P"] @ p[c] * scale[c] for c in "qkv"]
-            self.mask = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
-        (eq, ek, ev), (pq, pk, pv) = self.tables
-        late = np.ascontiguousarray(x[:, lead:])
-        q = eq.take(late, axis=0)
-        q += pq[lead:t]
-        k = ek.take(x, axis=0)
-        k += pk[:t]
-        v = ev.take(x, axis=0)
-        v += pv[:t]
-        w = q @ k.transpose(0, 2, 1)
-        w += self.mask[lead:t, :t]
-        np.minimum(w, 60, out=w)
-        np.exp(w, out=w)
-        z = w @ v
-        z /= w.sum(-1, keepdims=True)
-        m = p["E"].take(late, axis=0)
-        m += p["P"][lead:t]
-        m = m.reshape(-1, DIM)
-        m += z.reshape(-1, DIM) @ p["o"]
+            joined = lambda e, last: np.concatenate([e @ p["k"], e @ p["v"], np.full((len(e), 1), last)], 1).astype(np.float32)
+            own = lambda e: np.concatenate([e @ p["q"] * _SCALE, e], 1)
+            self.tables = joined(p["E"], 1), joined(p["P"], 0), own(p["E"]), own(p["P"])
+        past, past_at, mine, mine_at = self.tables
+        kv = past.take(x, axis=0)
+        kv += past_at[:t]
+        qe = mine.take(x[:, lead:], axis=0)
+        qe += mine_at[lead:t]
+        w = qe[:, :, :DIM] @ _turned(kv[:, :, :DIM])
+        _exp(w, 60)
+        w *= _PAST[lead:t, :t]
+        z = (w @ kv[:, :, DIM:]).reshape(-1, DIM + 1)
+        m = (z[:, :-1] / z[:, -1:]) @ p["o"]
+        m += qe[:, :, DIM:].reshape(-1, DIM)
         g = m @ p["A"]
         g += p["a"]
         np.maximum(g, 0, out=g)
-        m += g @ p["B"]
-        return m
+        out = np.ones((len(m), DIM + 1), np.float32)
+        np.add(m, g @ p["B"], out=out[:, :-1])
+        return out
 
 
 class Trainer:

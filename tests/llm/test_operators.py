@@ -541,6 +541,33 @@ def test_language_model_learns_from_every_document(spark):
         assert len(met) == dealt.count() and set(met.values()) <= times | {2}
 
 
+def test_language_model_gradients_are_slopes_whatever_the_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = rng.zipf(1.3, 4000).astype(np.int32) % 600
+    counts = np.bincount(ids, minlength=50257)
+    top, known = language_model.ranked(counts)
+    model = language_model.Model(counts, language_model.neighbours(ids, known, len(top)))
+    x, target, weight = model.known[ids[:384].reshape(12, 32)], ids[1:385].reshape(12, 32), (rng.random((12, 32)) > 0.2).astype(np.float32)
+    target[0, :3] = 699  # a subword without vectors
+    whole, loss = model.gradients(x, target, weight)
+    score = model.log_probabilities(ids, np.array([0, 5, 5, 1000, 1020, 4000]))
+    for name, p in model.p.items():
+        # The slope along the gradient itself, which is large against rounding.
+        step = whole[name] / max(1e-12, np.sqrt((whole[name] ** 2).sum())) * 0.05
+        ends = []
+        for sign in (1, -1):
+            model.p[name] = (p + sign * step).astype(np.float32)
+            logs = model.forward(x)[np.arange(12)[:, None], np.arange(32), target]
+            ends.append(-logs[weight > 0].mean())
+        model.p[name] = p
+        assert math.isclose((ends[0] - ends[1]) / 0.1, np.sqrt((whole[name] ** 2).sum()), rel_tol=0.05), name
+    for name, size in (("NEAR_ROWS", 37), ("NEAR_WINDOWS", 3)):
+        monkeypatch.setattr(language_model, name, size)
+    parts, again = model.gradients(x, target, weight)
+    assert math.isclose(loss, again, rel_tol=1e-5) and all(np.allclose(whole[k], parts[k], atol=1e-6) for k in whole)
+    assert np.allclose(score, model.log_probabilities(ids, np.array([0, 5, 5, 1000, 1020, 4000]), batch=7), atol=1e-4)
+
+
 @needs_data
 @needs_vocabulary
 def test_language_model_beats_word_counts_on_held_out_texts(spark):
