@@ -6,8 +6,9 @@ CONTEXT subwords that overlap by OVERLAP; each subword is scored once, in the wi
 batches with a causal mask. The output is a softmax in two steps, both made from the state: a class of subwords, then
 the subword within its class. Subwords without vectors of their own share one class, where counts decide.
 
-The network learns from every training document. All texts are encoded once; subwords are counted, and what stands
-around them, over all of them, which ranks the subwords and forms their classes. Each task then trains on whole texts of
+The network learns from every training document. All texts are encoded once, also where they are scored afterwards;
+subwords are counted, and what stands around them, over all training texts, which ranks the subwords and forms their
+classes. Each task then trains on whole texts of
 its part, and after each round the weights of all tasks are averaged, slice by slice. Rounds part a large corpus between
 them, so that each subword is learnt from once; small corpora are gone over in every round.
 
@@ -20,15 +21,17 @@ from __future__ import annotations
 
 import math
 import pickle
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.sampling import remainder
-from tessera.llm.shared import Words, arrow_limits, long_range, release, text_blocks, written
+from tessera.llm.shared import BLOCK, Words, arrow_limits, long_range, release, text_blocks, written
 from tessera.llm.token_counts import VOCABULARIES, encoding
 
 CONTEXT, OVERLAP = 32, 8
@@ -48,9 +51,11 @@ SLICE = 4096
 #: Frequent subwords whose neighbourhood tells classes apart, and subwords whose neighbours are counted at once.
 WIDTH, NEAR_BLOCK = 256, 1 << 19
 #: Windows and rows that are worked on at once, so that what is made of them stays near the processor.
-NEAR_WINDOWS, NEAR_ROWS = 64, 1024
-#: Bytes of a word that are encoded at once; longer words are encoded in pieces.
-PIECE = 256
+NEAR_WINDOWS, NEAR_ROWS = 64, 2048
+#: Bytes of a word that are encoded at once; longer words are encoded in pieces. Shorter ones go so many to a call.
+PIECE, TOGETHER = 256, 20_000
+#: White space of the vocabulary's pattern that does not part words here. Fixed value.
+_INNER_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _END = 50256
 #: Main axes that classes are cut along.
 AXES = 24
@@ -67,38 +72,85 @@ _ONES = np.ones(CLASSES, np.float32)
 END_HASH = np.uint64(0x5EED0FE2D0F7E875)
 
 
+@lru_cache(4)
+def _opening(folder: str) -> np.ndarray:
+    """Which subwords begin with a blank: in words parted by single blanks, those that begin a word."""
+    encoder = encoding(folder)
+    return np.array([encoder.decode_single_token_bytes(i).startswith(b" ") for i in range(_END)])
+
+
 class Spelling:
-    """Subword ids of words, remembered for a bounded number of words in two generations."""
+    """Subword ids of words, remembered for a bounded number of words: beyond it only the last texts' words stay."""
 
     LIMIT = 300_000
 
     def __init__(self, folder: str):
-        self.encode = encoding(folder).encode_ordinary
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.encode, self.opening = encoding(folder).encode_ordinary, _opening(folder)
+        # Hashes of the words in order, and where the subwords of each lie in `flat`.
+        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
-    def _spell(self, word: bytes) -> bytes:
+    def _alone(self, word: bytes) -> np.ndarray:
         text = word.decode("utf-8", "replace")
-        ids = [i for j in range(0, len(text), PIECE) for i in self.encode((" " if j == 0 else "") + text[j : j + PIECE])]
-        return np.array(ids, np.int32).tobytes()
+        return np.array([i for j in range(0, len(text), PIECE) for i in self.encode((" " if j == 0 else "") + text[j : j + PIECE])], np.int32)
+
+    def _joined(self, words: Words, which: np.ndarray) -> str:
+        """The words with a blank before each."""
+        first, n = words.starts[which], words.ends[which] - words.starts[which]
+        out = np.full(int(n.sum()) + len(n), 32, np.uint8)
+        inside = long_range(n)
+        out[np.repeat(np.cumsum(n + 1) - n, n) + inside] = words.low[np.repeat(first, n) + inside]
+        return out.tobytes().decode("utf-8", "replace")
+
+    def spell(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Subwords of some of the words: a flat array, and each word's start and number in it. Words are encoded many at
+        once: the pattern parts them at the blanks before them, so they have the same subwords as one by one. Long words,
+        and those with white space of the pattern inside, go alone."""
+        parts, total = [], 0
+        start, size = (np.zeros(len(which), np.int64) for _ in range(2))
+        for s in range(0, len(which), TOGETHER):
+            place = np.arange(s, min(s + TOGETHER, len(which)))
+            plain = words.ends[which[place]] - words.starts[which[place]] <= PIECE
+            text = self._joined(words, which[place[plain]])
+            if _INNER_BLANK.search(text):
+                plain[plain] = [not _INNER_BLANK.search(words.word(k).decode("utf-8", "replace")) for k in which[place[plain]]]
+                text = self._joined(words, which[place[plain]])
+            ids = np.array(self.encode(text), np.int32)
+            edges = np.append(np.flatnonzero(self.opening[ids]), len(ids))
+            if len(edges) != plain.sum() + 1:
+                raise ValueError("words of one call were not parted at their blanks")
+            start[place[plain]], size[place[plain]] = total + edges[:-1], np.diff(edges)
+            parts.append(ids)
+            total += len(ids)
+            for k in place[~plain]:
+                parts.append(self._alone(words.word(which[k])))
+                start[k], size[k] = total, len(parts[-1])
+                total += len(parts[-1])
+        return np.concatenate([np.zeros(0, np.int32), *parts]), start, size
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(subword ids of all words in order, subwords of each word)."""
-        distinct, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
-        pieces, young, old = [], self.young, self.old
-        for h, k in zip(distinct.tolist(), first.tolist()):
-            found = young.get(h)
-            if found is None:
-                found = young[h] = old.get(h) or self._spell(words.word(k))
-            pieces.append(found)
-        if len(young) > self.LIMIT:
-            self.old, self.young = young, {}
-        if not pieces:
+        if not len(words.hashes):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        flat, sizes = np.frombuffer(b"".join(pieces), np.int32), np.array([len(x) for x in pieces], np.int64) // 4
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[place]
-        return flat[np.repeat(starts[place], n) + long_range(n)], n
+        coded = pa.array(words.hashes).dictionary_encode()
+        place, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(np.append(self.hashes, np.uint64(0))[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        at[new] = len(self.hashes) + np.arange(len(new))
+        first = np.empty(len(distinct), np.int64)
+        first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
+        flat, start, size = self.spell(words, first[new])
+        start, size = np.append(self.start, start + len(self.flat)), np.append(self.size, size)
+        flat = np.append(self.flat, flat)
+        n = size[at[place]]
+        out = flat[np.repeat(start[at[place]], n) + long_range(n)]
+        hashes = np.append(self.hashes, distinct[new])
+        if len(hashes) > self.LIMIT:
+            hashes, start, size = distinct, start[at], size[at]
+            flat, start = flat[np.repeat(start, size) + long_range(size)], np.cumsum(size) - size
+        order = np.argsort(hashes)
+        self.hashes, self.start, self.size, self.flat = hashes[order], start[order], size[order], flat
+        return out, n
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +213,22 @@ def ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def neighbours(flat: np.ndarray, known: np.ndarray, n_top: int) -> np.ndarray:
     """How often each of the WIDTH most frequent subwords stands before a subword, and near it otherwise: counts of
     [place of the subword, column], flat."""
-    width = min(n_top, WIDTH)
+    width, steps = min(n_top, WIDTH), (1, -1, *range(2, 13))
     out = np.zeros((n_top + 1) * 2 * width, np.int64)
     for first in range(0, len(flat), NEAR_BLOCK):
-        x, cells = known[flat[first : first + NEAR_BLOCK]].astype(np.int64), []
-        for step in (1, -1, *range(2, 13)):
-            here, there = (x[step:], x[:-step]) if step > 0 else (x[:step], x[-step:])
-            near = (there > 0) & (there <= width) & (here > 0)
-            cells.append(here[near] * 2 * width + there[near] - 1 + (0 if step == 1 else width))
-        out += np.bincount(np.concatenate(cells), minlength=len(out))
+        x = known[flat[first : first + NEAR_BLOCK]].astype(np.int64)
+        there = np.flatnonzero((x > 0) & (x <= width))
+        # Rows of the subwords, with rows of none before and behind; what falls on none is dropped at the end.
+        rows = np.zeros(len(x) + 1 + max(steps), np.int64)
+        np.multiply(x, 2 * width, out=rows[1 : len(x) + 1])
+        column = x[there] - 1
+        cells = np.empty((len(steps), len(there)), np.int64)
+        for found, step in zip(cells, steps):
+            np.add(rows[1 + step :].take(there) if step > -1 else rows.take(there), column, out=found)
+            if step != 1:
+                found += width
+        out += np.bincount(cells.ravel(), minlength=len(out))
+    out[: 2 * width] = 0
     return out
 
 
@@ -298,7 +357,11 @@ class Model:
         dz = dz.reshape(n, t, -1)
         dw = dz @ _turned(v)
         dw *= w
-        to = np.concatenate([dw @ k, dw.transpose(0, 2, 1) @ q, w.transpose(0, 2, 1) @ dz[:, :, :-1]], 2).reshape(n * t, -1)
+        to = np.empty((n, t, 3 * DIM), dy.dtype)
+        np.matmul(dw, k, out=to[:, :, :DIM])
+        np.matmul(dw.transpose(0, 2, 1), q, out=to[:, :, DIM : 2 * DIM])
+        np.matmul(w.transpose(0, 2, 1), dz[:, :, :-1], out=to[:, :, 2 * DIM :])
+        to = to.reshape(n * t, -1)
         turned = h.T @ to
         out |= {"q": turned[:, :DIM] * _SCALE, "k": turned[:, DIM : 2 * DIM], "v": turned[:, 2 * DIM :]}
         dh = to @ np.concatenate([p["q"] * _SCALE, p["k"], p["v"]], 1).T
@@ -370,8 +433,11 @@ class Model:
         parts = [self.back(x[s : s + size], dyf[s * t : (s + size) * t], saved) for s, (_, saved) in blocks]
         dh = np.concatenate([b.pop("h") for b in parts])
         out |= {k: sum(b[k] for b in parts) for k in parts[0]}
-        fx = x.ravel()
-        out["E"] = np.stack([np.bincount(fx, c, len(p["E"])) for c in np.ascontiguousarray(dh.T)], 1).astype(np.float32)
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        fx = x.ravel()[order]
+        first = np.flatnonzero(np.diff(fx, prepend=-1))
+        out["E"] = np.zeros_like(p["E"])
+        out["E"][fx[first]] = np.add.reduceat(dh[order], first, 0)
         return out, float(loss / total)
 
     def log_probabilities(self, ids: np.ndarray, offsets: np.ndarray, batch: int = 2048) -> np.ndarray:
@@ -486,9 +552,19 @@ class Trainer:
             g, _ = model.gradients(model.known[previous[at]], flat[at], live)
             self.steps += 1
             for k, x in g.items():
-                self.m[k] += 0.1 * (x - self.m[k])
-                self.s[k] += 0.005 * (x * x - self.s[k])
-                p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.s[k] / (1 - 0.995**self.steps)) + 1e-8)
+                m, s, by = self.m[k], self.s[k], x * x
+                by -= s
+                by *= 0.005
+                s += by
+                np.subtract(x, m, out=by)
+                by *= 0.1
+                m += by
+                np.divide(s, 1 - 0.995**self.steps, out=by)
+                np.sqrt(by, out=by)
+                by += 1e-8
+                np.divide(m, by, out=by)
+                by *= self.rate / (1 - 0.9**self.steps)
+                p[k] -= by
         self.tokens += len(flat)
 
 
@@ -514,27 +590,41 @@ def train(texts: pa.Array, folder: str = VOCABULARIES, rounds: int = ROUNDS, see
     return model
 
 
+def _dealt():
+    """What deals a row to a round: a hash of id and text."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(DEALT)).alias("dealt")
+
+
+def _packed(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Subwords of texts as 16-bit numbers, one binary value a text."""
+    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets * 2), pa.py_buffer(flat.astype(np.uint16))])
+    return ids.cast(pa.binary())
+
+
 def _encode(folder: str):
-    """Each text's subwords as 16-bit numbers, with what deals the text to a round."""
+    """Each text's subwords, with what deals the text to a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = Spelling(folder)
         for batch in text_blocks(batches, "text"):
-            flat, offsets = encoded(batch.column("text"), spelling)
-            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets * 2), pa.py_buffer(flat.astype(np.uint16))])
-            yield pa.RecordBatch.from_arrays([batch.column("dealt"), ids.cast(pa.binary())], ["dealt", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("dealt"), _packed(*encoded(batch.column("text"), spelling))], ["dealt", "ids"])
 
     return run
 
 
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords of all texts of a column of `_packed`, and the offsets of the texts in them."""
+    column = column.cast(pa.large_binary())
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint16, (offsets[-1] - offsets[0]) // 2, offsets[0]).astype(np.int32), (offsets - offsets[0]) // 2
+
+
 def _id_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Subwords and offsets of the texts of each batch."""
     for batch in batches:
         if batch.num_rows:
-            column = batch.column("ids").cast(pa.large_binary())
-            _, where, data = column.buffers()
-            offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
-            yield np.frombuffer(data, np.uint16, (offsets[-1] - offsets[0]) // 2, offsets[0]).astype(np.int32), (offsets - offsets[0]) // 2
+            yield _unpacked(batch.column("ids"))
     release()
 
 
@@ -619,10 +709,13 @@ def fit(docs: DataFrame, folder: str = VOCABULARIES, least: int = LEAST_DOCUMENT
     from the same weights and passes once over its documents; the driver holds one model, whatever the number of tasks.
     Without documents the model spreads its mass evenly.
     """
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    dealt = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(DEALT)).alias("dealt")
-    texts = written(docs.select(dealt, "text").mapInArrow(_encode(folder), "dealt long, ids binary"), "learn")
+    arrow_limits(docs.sparkSession)
+    return _fit(written(docs.select(_dealt(), "text").mapInArrow(_encode(folder), "dealt long, ids binary"), "learn"), least, task_documents, rounds, seed)
+
+
+def _fit(texts: DataFrame, least: int = LEAST_DOCUMENTS, task_documents: int = TASK_DOCUMENTS, rounds: int = ROUNDS, seed: int = 7) -> Model:
+    """`fit` on a written table of encoded texts (dealt, ids)."""
+    spark = texts.sparkSession
     count = texts.count()
     counts = np.zeros(_VOCAB, np.int64)
     found = texts.select("ids").mapInArrow(_subword_counts, "subword long, n long").groupBy("subword").agg(F.sum("n").alias("n")).toArrow()
@@ -645,20 +738,20 @@ def fit(docs: DataFrame, folder: str = VOCABULARIES, least: int = LEAST_DOCUMENT
     return model
 
 
-_SCORED = "doc_id long, n_tokens long, head_known long, head_base double, score double, rare array<long>"
+_READ = "doc_id long, learns boolean, dealt long, ids binary, n_tokens long, head_known long, head_base double, rare array<long>"
+
 
+def _read(sent, folder: str, total: float, distinct: int):
+    """Each text's subwords and its figures by word counts, words outside the head aside; one pass over the texts."""
 
-def _score(sent, folder: str, total: float, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head, counts = pickle.loads(sent.value)
+        head, counts = pickle.loads(sent.value)
         spelling = Spelling(folder)
         base = np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))
         for batch in text_blocks(batches, "text"):
             words = Words(batch.column("text"))
             rows = batch.num_rows
-            flat, offsets = sequences(words, *spelling.ids(words))
-            sums = np.append(0.0, np.cumsum(model.log_probabilities(flat, offsets)))
-            score = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.log(10)
+            ids = _packed(*sequences(words, *spelling.ids(words)))
             n = np.diff(words.offsets)
             token = np.concatenate([words.hashes, np.full(rows, END_HASH, np.uint64)])
             row = np.concatenate([np.repeat(np.arange(rows), n), np.arange(rows)])
@@ -667,14 +760,36 @@ def _score(sent, folder: str, total: float, distinct: int):
             order = np.argsort(row[~hit], kind="stable")
             rare, cut = token[~hit][order].view(np.int64), np.searchsorted(row[~hit][order], np.arange(rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n + 1), pa.array(np.bincount(row[hit], minlength=rows).astype(np.int64)), pa.array(np.bincount(row[hit], base[at[hit]], rows).astype(np.float64)), pa.array(score), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(rare))],
-                ["doc_id", "n_tokens", "head_known", "head_base", "score", "rare"])
+                [*(batch.column(c) for c in ("doc_id", "learns", "dealt")), ids, pa.array(n + 1), pa.array(np.bincount(row[hit], minlength=rows).astype(np.int64)), pa.array(np.bincount(row[hit], base[at[hit]], rows).astype(np.float64)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(rare))],
+                ["doc_id", "learns", "dealt", "ids", "n_tokens", "head_known", "head_base", "rare"])
+
+    return run
+
+
+def _score(sent, limit: int = BLOCK // 2):
+    """Scores of encoded texts, about `limit` subwords at once; a longer text stands alone. The other columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(sent.value)
+        for batch in batches:
+            flat, offsets = _unpacked(batch.column("ids"))
+            first, scores = 0, [np.zeros(0)]
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+                places = offsets[first : last + 1] - offsets[first]
+                sums = np.append(0.0, np.cumsum(model.log_probabilities(flat[offsets[first] : offsets[last]], places)))
+                scores.append((sums[places[1:]] - sums[places[:-1]]) / np.log(10))
+                first = last
+            kept = [c for c in batch.schema.names if c != "ids"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate(scores))], [*kept, "score"])
+        release()
 
     return run
 
 
-def log_probabilities(docs: DataFrame, training: DataFrame, folder: str = VOCABULARIES, head_words: int = HEAD_WORDS, **settings) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
+def log_probabilities(docs: DataFrame, training: DataFrame | Column, folder: str = VOCABULARIES, head_words: int = HEAD_WORDS, **settings) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs, learning from `training`: a
+    table of its own, or a condition on doc_id and text that marks rows of docs, which are encoded once then.
 
     base_score is the text's log10 probability by word counts with 0.1 added, score that of the model. Null and blank
     texts are one end; texts of any length are scored whole. Repeated rows are scored alike, also under one doc_id, and
@@ -683,21 +798,29 @@ def log_probabilities(docs: DataFrame, training: DataFrame, folder: str = VOCABU
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    counts = written(word_counts(training), "words")
+    marks = isinstance(training, Column)
+    counts = written(word_counts(docs.filter(training) if marks else training), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = counts.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
     word, n = head["word"].to_numpy().astype(np.int64).view(np.uint64), head["n"].to_numpy().astype(np.float64)
     order = np.argsort(word)
-    sent = spark.sparkContext.broadcast(pickle.dumps((fit(training, folder, **settings), word[order], n[order])))
-    rows = docs.select("doc_id", "text").mapInArrow(_score(sent, folder, float(total), distinct), _SCORED)
+    sent = spark.sparkContext.broadcast(pickle.dumps((word[order], n[order])))
+    learns = (training if marks else F.lit(False)).alias("learns")
+    rows = docs.select("doc_id", learns, _dealt(), "text").mapInArrow(_read(sent, folder, float(total), distinct), _READ)
     # The key stands for a row from here on, since the table is written with it.
-    rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "scored")
+    rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "read")
+    sent.destroy()
+    model = _fit(rows.filter("learns").select("dealt", "ids"), **settings) if marks else fit(training, folder, **settings)
+    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+    plain = rows.select("key", "doc_id", "n_tokens", "head_known", "head_base", F.size("rare").cast("long").alias("n_rare"), "ids")
+    scored = written(plain.mapInArrow(_score(sent), "key long, doc_id long, n_tokens long, head_known long, head_base double, n_rare long, score double"), "scored")
+    sent.destroy()
     # Words outside the head: their counts, if the corpus has them, by a join on the hash.
     rare = rows.select("key", F.explode("rare").alias("word")).join(counts, "word")
     known = rare.groupBy("key").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 0.1) - F.log10(F.lit(0.1))).alias("gain"))
     unseen = float(np.log10(0.1 / (float(total) + 0.1 * (distinct + 1))))
-    base = F.col("head_base") + F.size("rare") * F.lit(unseen) + F.coalesce("gain", F.lit(0.0))
-    return rows.join(known, "key", "left").select("doc_id", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("head_base") + F.col("n_rare") * F.lit(unseen) + F.coalesce("gain", F.lit(0.0))
+    return scored.join(known, "key", "left").select("doc_id", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
@@ -707,5 +830,5 @@ def held_out_scores(docs: DataFrame) -> DataFrame:
     columns other than doc_id and text are not read. An empty table gives no rows.
     """
     held = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
-    out = log_probabilities(docs, docs.filter(~held))
+    out = log_probabilities(docs, ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

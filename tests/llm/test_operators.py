@@ -568,6 +568,61 @@ def test_language_model_gradients_are_slopes_whatever_the_blocks(monkeypatch):
     assert np.allclose(score, model.log_probabilities(ids, np.array([0, 5, 5, 1000, 1020, 4000]), batch=7), atol=1e-4)
 
 
+@needs_vocabulary
+def test_language_model_encodes_words_many_at_once():
+    """The same subwords as word by word, few calls, also where the memory of words is small."""
+    rng = random.Random(12)
+    parts = [" ", "  ", "\n", "\t", "\u3000", "\x85", "\x1c", "\xa0", "a", "B", "'s", "'", "'ll", "1", "!", "é", "\u200b", "日本", "\u2003", "\U0001f600", "\x00", "x" * 300, "é" * 200, "\u0301", "Ⅷ", "²", "_", "\ufeff"]
+    texts = [prose(rng, 400, 200) for _ in range(20)] + ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)] + EDGE
+    encode, calls = token_counts.encoding().encode_ordinary, []
+    spelling = language_model.Spelling(VOCABULARIES)
+    spelling.encode = lambda text: calls.append(text) or encode(text)
+    spelling.ids(Words(pa.array(texts[:20])))
+    assert len(calls) == 1
+    spelling.LIMIT = 50
+    for k in range(0, len(texts), 30):
+        words = [w.decode() for t in texts[k : k + 30] for w in words_of(t)]
+        split = [[i for j in range(0, len(w), 256) for i in encode(" " * (j == 0) + w[j : j + 256])] for w in words]
+        ids, sizes = spelling.ids(Words(pa.array(texts[k : k + 30])))
+        assert sizes.tolist() == [len(x) for x in split] and ids.tolist() == [i for x in split for i in x]
+
+
+@needs_vocabulary
+def test_language_model_reads_and_encodes_texts_once_for_learning_and_scoring(spark, tmp_path):
+    rng = random.Random(13)
+    log = str(tmp_path / "passes")
+
+    def met(batches):
+        with open(log, "a") as f:
+            for batch in batches:
+                f.write("x" * batch.num_rows)
+                yield batch
+
+    frame = docs(spark, [prose(rng, 60, 40) for _ in range(40)] + EDGE)
+    rows = frame.count()
+    seen = frame.select("doc_id", "text").mapInArrow(met, "doc_id long, text string")
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    learnt = frame.filter(~held).count()
+    assert len(language_model.held_out_scores(seen).collect()) == rows
+    # Once for the word counts, once for all else.
+    assert os.path.getsize(log) <= 2 * rows
+    marked, apart = ({r.doc_id: tuple(r) for r in language_model.log_probabilities(frame, t, head_words=20, rounds=0).collect()} for t in (~held, frame.filter(~held)))
+    assert learnt < rows and marked.keys() == apart.keys() and all(np.allclose(marked[k], apart[k], rtol=1e-9) for k in marked)
+
+
+def test_language_model_counts_neighbours_one_by_one():
+    rng = np.random.default_rng(2)
+    flat = rng.integers(0, 40, 300).astype(np.int32)
+    known = np.append(rng.permutation(30) + 1, np.zeros(20, np.int32)).astype(np.int32)
+    for n in (0, 1, 2, 12, 13, 300):
+        want = np.zeros((31, 60), np.int64)
+        for i in range(n):
+            for j in (*range(i - 12, i), i + 1):
+                if 0 <= j < n and known[flat[i]] and known[flat[j]]:
+                    want[known[flat[i]], known[flat[j]] - 1 + 30 * (j != i - 1)] += 1
+        assert (language_model.neighbours(flat[:n], known, 30).reshape(31, -1) == want).all()
+
+
 @needs_data
 @needs_vocabulary
 def test_language_model_beats_word_counts_on_held_out_texts(spark):
