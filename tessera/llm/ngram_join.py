@@ -3,8 +3,11 @@
 Shingle sets are ordered rare first; two sets that reach the threshold share a token of their prefixes (the
 first n - ceil(t*n) + 1 tokens). Sets with equal prefixes and sizes form one group, so the inverted index holds
 a row for each group and token. Token lists of groups give group pairs under size and position filters; pairs are
-expanded to members and verified on whole sets. Lists longer than `LONG` (clusters of near-copies) are not paired:
-see _resolve_long.
+expanded to members; those that pass a bound from outlines (a bit for each hash class of tokens) are verified on
+whole sets. Lists longer than `LONG` (clusters of near-copies) are not paired: see _resolve_long.
+
+Texts that have nothing else in common meet by chance in a number that grows with the square of the table. The
+outlines keep those pairs from whole sets, which only pairs that may be links and members of long lists read.
 
 Hashes of 64 bits stand for shingles. Nothing is capped: the bound on frequent tokens held in memory only decides
 how well rare tokens come first, never which links are found.
@@ -158,7 +161,7 @@ def _counts_of(frequent, cut: np.ndarray) -> np.ndarray:
 def _sets(frequent, percent: int, size: int):
     """Each document's set size, 128-bit set digest and prefix in the order (frequency if frequent, hash).
 
-    The prefix is written as six bytes a token, its digest beside it.
+    The prefix is written as six bytes a token, its digest and the set's outline beside it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +177,53 @@ def _sets(frequent, percent: int, size: int):
             blobs = [six[s : s + p].tobytes() for s, p in zip(at[:-1], prefix)]
             key = [hashlib.blake2b(x, digest_size=16).digest() for x in blobs]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in digest), pa.array(key, pa.binary()), pa.array(blobs, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "key", "prefix"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in digest), pa.array(key, pa.binary()), pa.array(blobs, pa.binary()), pa.array(outlines(tokens, at), pa.binary())],
+                ["doc_id", "n", "d1", "d2", "key", "prefix", "outline"],
             )
 
     return run
 
 
+def outlines(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bitmap for each set: of as many bits as the power of two from its size up, 64 at least, each set if a token has it as its lowest bits."""
+    n = np.diff(at)
+    bits = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64)
+    ends = np.cumsum(bits)
+    flags = np.zeros(int(bits.sum()), np.uint8)
+    flags[np.repeat(ends - bits, n) + (tokens & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)] = 1
+    packed = np.packbits(flags, bitorder="little").tobytes()
+    return [packed[s:e] for s, e in zip((ends - bits) // 8, ends // 8)]
+
+
+def may_link(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """False where the outlines rule out a link: a bit that only one set has stands for a token that only it has."""
+    widths = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), bool)
+    for pair in np.unique(widths, axis=0):
+        where = np.flatnonzero((widths == pair).all(1))
+        # A longer bitmap folds to the shorter one's lowest bits.
+        x, y = (np.bitwise_or.reduce(np.frombuffer(b"".join(side[k] for k in where), np.uint8).reshape(len(where), -1, pair.min()), 1) for side in (a, b))
+        alone = [np.bitwise_count(u & ~v).sum(1, dtype=np.int64) for u, v in ((x, y), (y, x))]
+        most = np.minimum(na[where] - alone[0], nb[where] - alone[1])
+        out[where] = _linked(most, na[where], nb[where])
+    return out
+
+
+def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = batch.column("oa").to_pylist(), batch.column("ob").to_pylist()
+        keep = may_link(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in "ab"], ["a", "b"])
+
+
+def _worth_verifying(pairs: DataFrame, every: DataFrame) -> DataFrame:
+    """The pairs that the outlines of their sets allow."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    known = every.filter("n > 0").select("doc_id", "n", "outline").distinct().join(ids, "doc_id", "left_semi")
+    left, right = (known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_possible_pairs, "a long, b long").distinct()
+
+
 def _tokens_of(blobs: list[bytes]) -> np.ndarray:
     six = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
     out = np.zeros((len(six), 8), np.uint8)
@@ -350,11 +393,13 @@ def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) ->
 
     C is the consensus of a list: the tokens in most of its members near a pivot, a member drawn by hash. Lists with
     one pivot count as one. Members far from the pivot go on with another, together with those between (outer), which
-    may be linked with them; so do difference tokens whose own lists are long. After `rounds` what is left goes to _within_lists.
+    may be linked with them; so do difference tokens whose own lists are long. After `rounds` what is left goes to
+    _within_lists. A round reads the sets of its own members only.
     """
     P, found = PERCENT, []
     unit = (100 - P) / (100 + P)
     for k in range(rounds):
+        sets = written(sets.join(long_.select("id").distinct(), "id", "left_semi"), "of-lists")
         draw = [F.xxhash64("id", F.lit(k)), F.col("id")]
         chosen = long_.groupBy("list").agg(F.min_by("id", F.struct(*([~F.col("far")] if "far" in long_.columns else []), *draw)).alias("pivot"))
         spokes = long_.select("list", "id").join(chosen, "list")
@@ -404,6 +449,7 @@ def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) ->
         long_ = written(away.union(crowded).distinct(), "long")
         if long_.isEmpty():
             return found
+    sets = written(sets.join(long_.select("id").distinct(), "id", "left_semi"), "of-lists")
     found.append(written(_verify(_within_lists(long_, sets), sets).filter("linked").select("a", "b"), "strays"))
     return found
 
@@ -431,7 +477,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = frequent.orderBy(F.desc("n"), "token").limit(KEPT).toArrow()
     order = np.argsort(kept["token"].to_numpy())
     sent = spark.sparkContext.broadcast(tuple(kept[c].to_numpy().astype(np.int64)[order].tobytes() for c in ("token", "n")))
-    every = written(docs.mapInArrow(_sets(sent, PERCENT, size), "doc_id long, n long, d1 long, d2 long, key binary, prefix binary"), "sets")
+    every = written(docs.mapInArrow(_sets(sent, PERCENT, size), "doc_id long, n long, d1 long, d2 long, key binary, prefix binary, outline binary"), "sets")
 
     some = every.filter("n > 0 AND doc_id IS NOT NULL")
     texts = written(some.groupBy("d1", "d2", "n", "key").agg(F.min("doc_id").alias("rep")), "texts")
@@ -454,7 +500,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     expand = lambda df, gid, rep: df.join(crowded.select(F.col("gid").alias(gid), F.col("rep").alias(rep)), gid, "left").withColumn(rep, F.coalesce(rep, gid))
     pairs = lists.filter("b IS NOT NULL").select("a", "b").union(small).distinct()
     pairs = expand(expand(pairs, "a", "ra"), "b", "rb").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = written(_worth_verifying(written(pairs.distinct(), "pairs"), some), "possible")
     long_ = written(expand(rows.union(large), "gid", "rep").select(F.col("token").alias("list"), F.col("rep").alias("id")).distinct(), "long")
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long_.select("id")).distinct()

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_model, license_scan, packing, quality, shared, token_counts, topk, toxicity, warc
+from tessera.llm import decontaminate, language_model, license_scan, ngram_join, packing, quality, shared, token_counts, topk, toxicity, warc
 from tessera.llm.components import components
 from tessera.llm.ngram_join import similar_components
 from tessera.llm.shared import Words, written
@@ -114,6 +114,48 @@ def test_ngram_join(spark, settings):
         assert similar_components(frame.limit(0)).count() == 0
 
 
+def test_outlines_keep_every_link():
+    rng = np.random.default_rng(5)
+    a, b = [], []
+    for k in range(600):
+        n = int(rng.integers(1, 300))
+        base = rng.integers(0, 2**63, 3 * n, dtype=np.uint64)
+        skip = int(rng.integers(0, 2 * n)) if k % 2 else int(n * rng.uniform(0, 0.12))
+        a.append(np.unique(base[:n]))
+        b.append(np.unique(base[skip : skip + max(1, int(n * rng.uniform(0.85, 1.15)))]))
+    made = lambda sets: ngram_join.outlines(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    na, nb = (np.array([len(x) for x in side]) for side in (a, b))
+    linked = ngram_join._linked(np.array([len(np.intersect1d(x, y)) for x, y in zip(a, b)]), na, nb)
+    may = ngram_join.may_link(made(a), made(b), na, nb)
+    assert linked.any() and not (linked & ~may).any() and (~may).sum() > 0.6 * (~linked).sum()
+
+
+def watch_written(monkeypatch, tags):
+    """Rows of the tables that the join writes, by tag."""
+    rows, real = collections.defaultdict(list), ngram_join.written
+
+    def written(df, tag, path=None):
+        out = real(df, tag, path)
+        if tag in tags:
+            rows[tag].append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    return rows
+
+
+def test_ngram_join_chance_pairs_read_no_whole_sets(spark, monkeypatch):
+    # Unrelated texts that share short runs of words meet in the prefix index; only the one link reads whole sets.
+    rng = random.Random(8)
+    runs = [prose(rng, 6, 10**6) for _ in range(60)]
+    texts = [" ".join(x for k in range(4) for x in (prose(rng, 20, 10**6), runs[rng.randrange(60)])) for _ in range(120)]
+    texts.append(texts[0] + " tail")
+    rows = watch_written(monkeypatch, ("pairs", "whole"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(docs(spark, texts)).collect()}
+    assert got == jaccard_brute(enumerate(texts))
+    assert rows["pairs"][0] > 20 and rows["whole"][0] <= 8
+
+
 def best_fit_brute(sizes, sources, clusters, capacity):
     bins, out = [], [-1] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda j: -sizes[j]):
