@@ -41,6 +41,8 @@ HOT = 4096
 LONG = 24
 #: Comparisons of prefixes within one list of difference tokens; longer lists get a pivot of their own.
 WORK = 50_000
+#: After a round, lists of no more members are paired: outlines decide which pairs read whole sets.
+FEW = 128
 #: Rounds of pivots before what is left is joined by prefixes within its lists.
 ROUNDS = 8
 #: Bytes of text for each range of the packed exchanges.
@@ -382,7 +384,30 @@ def _within_lists(long_: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right, ["list", "token"]).filter(fits).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
 
 
-def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) -> list[DataFrame]:
+def _set_outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs = batch.column("tokens").to_pylist()
+        n = np.array([len(x) // 8 for x in blobs], np.int64)
+        made = outlines(np.frombuffer(b"".join(blobs), np.uint64), np.append(0, np.cumsum(n)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(made, pa.binary())], ["doc_id", "n", "outline"])
+
+
+def _paired(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among all pairs of each list."""
+    left, right = (lists.select("list", F.col("id").alias(x)) for x in "ab")
+    pairs = written(left.join(right, "list").filter("a < b").select("a", "b").distinct(), "few")
+    pairs = written(_worth_verifying(pairs, sets.mapInArrow(_set_outlines, "doc_id long, n long, outline binary")), "possible")
+    return written(_verify(pairs, sets).filter("linked").select("a", "b"), "links")
+
+
+def _open_lists(long_: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The lists whose members the links do not connect yet: in the others a further link changes no component."""
+    labels = components(_union(links))
+    parts = long_.join(labels, "id", "left").groupBy("list").agg(*(f(F.coalesce("component", "id")).alias(x) for x, f in (("low", F.min), ("high", F.max))))
+    return long_.join(parts.filter("low != high").select("list"), "list", "left_semi")
+
+
+def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int, paired: int) -> list[DataFrame]:
     """Links that connect all that is linked within long lists (list, id), without pairing their members.
 
     With D(s) the symmetric difference of s and some fixed set C, and k = (100 - P) / (100 + P), s and x are linked
@@ -393,8 +418,9 @@ def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) ->
 
     C is the consensus of a list: the tokens in most of its members near a pivot, a member drawn by hash. Lists with
     one pivot count as one. Members far from the pivot go on with another, together with those between (outer), which
-    may be linked with them; so do difference tokens whose own lists are long. After `rounds` what is left goes to
-    _within_lists. A round reads the sets of its own members only.
+    may be linked with them; so do difference tokens whose own lists are long, each unless its members are connected by
+    now. Of these, lists of at most `paired` members are paired. After `rounds` what is left goes to _within_lists. A round
+    reads the sets of its own members only.
     """
     P, found = PERCENT, []
     unit = (100 - P) / (100 + P)
@@ -447,6 +473,12 @@ def _resolve_long(long_: DataFrame, sets: DataFrame, rounds: int, work: int) ->
         away = spokes.join(rows.filter("far OR outer").select("pivot", "id", "far"), ["pivot", "id"]).select("list", "id", "far")
         away = away.join(away.filter("far").select("list").distinct(), "list", "left_semi").withColumn("list", F.xxhash64("list", F.lit(k)))
         long_ = written(away.union(crowded).distinct(), "long")
+        if not long_.isEmpty():
+            open_ = _open_lists(long_, found)
+            long_ = written(open_.join(open_.groupBy("list").agg(F.count("*").alias("many")), "list"), "open")
+            short, long_ = long_.filter(F.col("many") <= paired).drop("many"), long_.filter(F.col("many") > paired).drop("many")
+            if not short.isEmpty():
+                found.append(_paired(short, sets))
         if long_.isEmpty():
             return found
     sets = written(sets.join(long_.select("id").distinct(), "id", "left_semi"), "of-lists")
@@ -461,7 +493,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, rounds: int = ROUNDS, longest: int = LONG, work: int = WORK) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, rounds: int = ROUNDS, longest: int = LONG, work: int = WORK, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     component_id is the smallest id reachable through links, the row's own if it has none. Null and blank texts have
@@ -509,7 +541,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(chosen.mapInArrow(_whole_sets(size), "id long, tokens binary"), "whole")
     found = [written(_verify(pairs, sets).filter("linked").select("a", "b"), "links")]
     if not long_.isEmpty():
-        found += _resolve_long(long_, sets, rounds, work)
+        found += _resolve_long(long_, sets, rounds, work, few)
     labels = components(_union(found))
     final = texts.select("d1", "d2", "n", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = every.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2", "n"], "left")

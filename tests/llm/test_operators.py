@@ -156,6 +156,24 @@ def test_ngram_join_chance_pairs_read_no_whole_sets(spark, monkeypatch):
     assert rows["pairs"][0] > 20 and rows["whole"][0] <= 8
 
 
+@pytest.mark.parametrize("settings", [{"few": 0, "rounds": 2, "work": 3}, {"few": 6, "work": 3}])
+def test_ngram_join_rounds_read_their_members(spark, settings, monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, 50, 9000) for _ in range(25)]
+    texts += [t + " more" for t in texts]
+    base = prose(rng, 60, 5000).split()
+    other = base[:30] + prose(rng, 30, 5000).split()
+    for source in (base, other) * 25:
+        w = list(source)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(60)] = f"e{rng.randrange(6)}"
+        texts.append(" ".join(w))
+    rows = watch_written(monkeypatch, ("of-lists", "whole"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(docs(spark, texts), longest=3, **settings).collect()}
+    assert got == jaccard_brute(enumerate(texts))
+    assert rows["of-lists"] and rows["of-lists"][0] < rows["whole"][0] and rows["of-lists"] == sorted(rows["of-lists"], reverse=True)
+
+
 def best_fit_brute(sizes, sources, clusters, capacity):
     bins, out = [], [-1] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda j: -sizes[j]):
